@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, url_reputation
+from . import decontamination, license_scan, mixing, sharding, url_reputation
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -23,11 +27,17 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_sources, op5_shard, op7_url_reputation)
+    f.__name__: f for f in (op1_decontaminate, op3_mix_sources, op5_shard, op7_url_reputation, op9_license_scan)
 }
 SQL: dict[str, str] = {
+    "op1_decontaminate": decontamination.SQL,
     "op3_mix_sources": mixing.SQL,
     "op5_shard": sharding.SQL,
     "op7_url_reputation": url_reputation.SQL,
+    "op9_license_scan": license_scan.SQL,
 }
