@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, license_scan, mixing, quality, sharding, url_reputation
+from . import decontamination, language, license_scan, minhash, mixing, quality, sharding, url_reputation
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_mix_sources, op5_shard, op7_url_reputation, op9_license_scan, op10_language_id)
+    f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_mix_sources, op4_minhash_dedup, op5_shard, op7_url_reputation, op9_license_scan, op10_language_id)
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontamination.SQL,
