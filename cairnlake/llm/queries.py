@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, license_scan, minhash, mixing, quality, sharding, suffix_dedup, url_reputation
+from . import decontamination, language, license_scan, minhash, mixing, passage_dedup, quality, sharding, suffix_dedup, url_reputation
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_mix_sources, op4_minhash_dedup, op5_shard, op7_url_reputation, op8_suffix_dedup, op9_license_scan, op10_language_id)
+    f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_mix_sources, op4_minhash_dedup, op5_shard, op6_passage_dedup, op7_url_reputation, op8_suffix_dedup, op9_license_scan, op10_language_id)
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontamination.SQL,
