@@ -1 +1 @@
-
+"""Sources and sinks: tables, chunk folders, local trees."""
