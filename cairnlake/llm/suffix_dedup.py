@@ -14,9 +14,10 @@ aside first, without losing any:
    takes them in batches: each batch gets its suffix array (its window starts in the order of the
    LENGTH bytes that follow), is scanned against every level of the family for equal strings, and
    joins the family; levels of equal size merge, so there are logarithmically many.
-4. Anchor hashes with more than GROUP different contexts (a passage that very many texts share, each
-   followed by something else) would be one task's group.  Their windows are dealt by 128-bit
-   fingerprint instead, which is counted with partial aggregation.
+4. An anchor hash with more than GROUP different contexts (a passage that many texts share, each
+   followed by something else) is dealt into blocks of about GROUP, and every two blocks meet in a
+   task of their own.  Beyond BLOCKS blocks, where pairs of blocks would cost more than they save,
+   the windows are dealt by 128-bit fingerprint, which is counted with partial aggregation.
 5. Spans return to the texts by the MD5 of the text.
 
 Texts that repeat as a whole are removed whole if they have LENGTH bytes.
@@ -39,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, materialise
 
 LENGTH, GRAM = 200, 32
-PIECE = 2_000_000
-#: Different contexts of an anchor hash up to which suffix arrays judge them.
-GROUP = 1000
-#: Windows that a task judges, about, and contexts in a batch.
-TASK_WINDOWS, BATCH = 300_000, 500
+PIECE = 1_000_000
+#: Different contexts of an anchor hash in a block, and blocks up to which suffix arrays judge them.
+GROUP, BLOCKS = 1000, 16
+#: Windows that a task judges, about, contexts in a batch, and texts that are read at once.
+TASK_WINDOWS, BATCH, TEXTS = 150_000, 500, 1000
 #: Rows of single numbers up to which the hashes found twice are broadcast.
 HASH_ROWS = 1_000_000
 
@@ -147,10 +148,13 @@ class SuffixFamily:
         return np.concatenate(found)
 
 
-def _windows(context: bytes) -> np.ndarray:
-    """All windows of a context, as an array of byte strings of fixed length."""
+def _windows(context: bytes, tag: int) -> np.ndarray:
+    """All windows of a context behind a tag, as an array of byte strings of fixed length."""
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(context, np.uint8), LENGTH)
-    return np.ascontiguousarray(view).view(f"S{LENGTH}")[:, 0]
+    out = np.empty((len(view), 4 + LENGTH), np.uint8)
+    out[:, :4] = np.frombuffer(tag.to_bytes(4, "big"), np.uint8)
+    out[:, 4:] = view
+    return out.view(f"S{4 + LENGTH}")[:, 0]
 
 
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -161,17 +165,27 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + LENGTH) for p in np.split(starts, cut)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over all contexts of a task: (h, c1, c2, spans) of those with windows that repeat."""
+    """Suffix arrays over all contexts of a task: (h, c1, c2, spans) of those with windows that repeat.
+    A pair of blocks has a tag of its own: a block may meet several others in one task, and must not be
+    taken for its own repeat.  Hashes of one block need none, as their windows differ anyway."""
     family, keys, first, total = SuffixFamily(), [], [], 0
+    tags: dict[tuple, int] = {}
     repeated = []
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
-            contexts = [_windows(x) for x in part.column("context").to_pylist()]
+            pairs = zip(*(part.column(c).to_pylist() for c in ("h", "i", "j")))
+            contexts = [_windows(x, tags.setdefault(p, len(tags) + 1) if p[1] < p[2] else 0) for x, p in zip(part.column("context").to_pylist(), pairs)]
             keys += zip(*(part.column(c).to_pylist() for c in ("h", "c1", "c2")))
             for c in contexts:
                 first.append(total)
@@ -218,7 +232,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = text_anchors([t.encode() for t in batch.column("text").to_pylist()])
             unique = [np.unique(x[:, 0], return_counts=True) for x in found]
             n = [len(u) for u, _ in unique]
@@ -233,7 +247,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     held = keyed.join(bounded_broadcast(again), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             raws = [t.encode() for t in batch.column("text").to_pylist()]
             keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
             rows: dict[tuple, list[int]] = {}
@@ -251,11 +265,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kinds = contexts.groupBy("h", "c1", "c2").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max(F.size("at")).alias("times"), F.first("context").alias("context"))
     kinds = materialise(kinds.select("h", "c1", "c2", "context", ((F.col("a") != F.col("b")) | (F.col("times") > 1)).alias("full")))
     groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or(~F.col("full")).alias("open"), F.sum(F.octet_length("context") - (LENGTH - 1)).alias("windows")).where("kinds > 1 AND open")
-    groups = materialise(groups.select("h", "kinds", "windows"))
-    few, many = groups.where(F.col("kinds") <= GROUP), groups.where(F.col("kinds") > GROUP)
-    windows = few.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    dealt = kinds.join(bounded_broadcast(few.select("h"), HASH_ROWS), "h").select("h", "c1", "c2", "context").repartition(max(1, -(-windows // TASK_WINDOWS)), "h")
-    judged = dealt.mapInArrow(_judge, "h long, c1 long, c2 long, spans array<struct<start:int,end:int>>")
+    groups = materialise(groups.select("h", "windows", F.ceil(F.col("kinds") / GROUP).cast("int").alias("blocks")))
+    few, many = groups.where(F.col("blocks") <= BLOCKS), groups.where(F.col("blocks") > BLOCKS)
+    windows = few.agg(F.coalesce(F.sum(F.col("windows") * F.greatest(F.col("blocks") - 1, F.lit(1))), F.lit(0))).first()[0]
+    dealt = kinds.join(bounded_broadcast(few.select("h", "blocks"), HASH_ROWS), "h").withColumn("block", F.pmod("c1", F.col("blocks")).cast("int"))
+    dealt = dealt.select("h", "c1", "c2", "context", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks").where("other != block OR blocks = 1")
+    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c1", "c2", "context")
+    judged = dealt.repartition(max(1, -(-windows // TASK_WINDOWS)), "h", "i", "j").mapInArrow(_judge, "h long, c1 long, c2 long, spans array<struct<start:int,end:int>>")
     prints = materialise(kinds.join(bounded_broadcast(many.select("h"), HASH_ROWS), "h").select("h", "c1", "c2", "context").mapInArrow(_fingerprints, "h long, c1 long, c2 long, start int, f1 long, f2 long"))
     equal = materialise(prints.groupBy("f1", "f2").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a != b").select("f1", "f2"))
     printed = prints.join(equal, ["f1", "f2"]).groupBy("h", "c1", "c2").agg(F.collect_list("start").alias("starts"))
@@ -288,7 +304,7 @@ def remove_repeats(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     met = keyed.join(bounded_broadcast(spans), ["k1", "k2"], "left").select("row", "text", "whole", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             removed, kept = [], []
             for text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "spans"))):
                 raw = (text or "").encode()
