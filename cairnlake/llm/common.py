@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a measured side of a join is broadcast (a hint is given only after counting).
 BROADCAST_ROWS = 200_000
 
+#: Texts, and characters of texts, that a Python worker reads at once.
+TEXTS, CHARACTERS = 1000, 10_000_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII characters that no content word holds: everything but digits and letters.
 NOT_WORD = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -51,6 +57,16 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most TEXTS rows and, but for single rows, CHARACTERS of text."""
+    for batch in batches:
+        size = np.array(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
+        at = 0
+        while at < batch.num_rows:
+            n = min(TEXTS, max(1, int(np.searchsorted(np.cumsum(size[at : at + TEXTS]), CHARACTERS, "right"))), batch.num_rows - at)
+            yield batch.slice(at, n)
+            at += n
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body`` (also inside lambdas, where
     a plain column expression would be evaluated again for each element)."""

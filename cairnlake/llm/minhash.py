@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, materialise, slices
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -47,7 +47,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Shingles of sets that one task holds at most from each of two blocks.
 BLOCK_SHINGLES = 500_000
 #: Words whose hashes a worker remembers, and shingles hashed at once.
-REMEMBER, AT_ONCE = 500_000, 200_000
+REMEMBER, AT_ONCE = 200_000, 200_000
 
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +64,7 @@ class _Words(dict):
 
 
 _words = _Words()
+hash_word = _words.__getitem__
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,7 +76,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words between ASCII blanks, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hash_word, words), np.uint64, len(words))
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -115,7 +116,7 @@ def set_digest(s: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set), bands (null for the empty set)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in slices(parts):
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             bands: list[list[int] | None] = [None] * len(sets)
             run: list[int] = []
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     held = docs.select("doc_id", "text").join(bounded_broadcast(members), F.col("doc_id") == F.col("rep"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in slices(parts):
             found = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             digests = np.array([set_digest(s) for s in found]).reshape(-1, 2)
             same = (digests[:, 0] == batch.column("d1").to_numpy()) & (digests[:, 1] == batch.column("d2").to_numpy())
@@ -229,7 +230,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     """One document of each group of near duplicates, with its columns unchanged.  Where rows repeat
     an id, all rows of a kept id stay."""
     gone = materialise(near_duplicates(docs.select("doc_id", "text"), shingle, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(bounded_broadcast(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    held = docs.select(F.struct("*").alias("row"))
+    return held.join(bounded_broadcast(gone), F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ PARAGRAPH words that start where the text itself says: among WINDOW shingles in
 least hash is picked (the MinHash value of that stretch), and a paragraph starts at every pick.  A
 passage of WINDOW + SHINGLE + PARAGRAPH - 2 = 51 words or more that stands in two documents thus has a
 whole paragraph in common.  Each of BANDS hash functions picks its own paragraphs; the pick is the
-band's key.  A paragraph pair of Jaccard similarity s meets in a band with probability about s, and
-long passages have many paragraphs, so two bands of one row give high recall.
+band's key.  A paragraph pair of Jaccard similarity s meets in a band with probability about s, and a
+passage has a paragraph about every dozen words, so one band of one row finds nearly all passages:
+two of 100 words at similarity 0.8 or more miss each other about once in a hundred times.
 
-1. One pass in Arrow batches finds all picks; keys found in one document only are dropped by a group
-   with partial aggregation.
+1. One pass in Arrow batches finds all picks; keys found in one row only are dropped by a count with
+   partial aggregation.
 2. The documents that hold other keys are read again; their paragraphs with such keys go on: key,
    document, place, digest of the words, shingles.
 3. Paragraphs with equal words are one kind.  Kinds with a key in common are linked if the Jaccard
@@ -19,9 +20,9 @@ long passages have many paragraphs, so two bands of one row give high recall.
 4. Components of the links are the clusters; a cluster in two documents or more is a repeat.  Its
    place with the least (id, place) stays, the other documents' places are removed.
 
-Defined cases: null and wordless texts and texts below PARAGRAPH words have no paragraphs; rows with
+Defined cases: null and wordless texts and texts below WINDOW + SHINGLE - 1 words have no paragraphs; rows with
 a null id are not looked at; rows that repeat an id count as one document; repeats within one
-document alone do not count; an empty table gives no rows; very long texts are taken whole.
+document alone do not count; an empty table gives no rows; very long texts are read alone and whole.
 """
 
 from __future__ import annotations
@@ -30,44 +31,59 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, materialise, slices
 from .components import connected_components
-from .minhash import mix, shingles, word_hashes
+from .minhash import hash_word, mix, shingles
 
 SHINGLE, PERCENT = 5, 80
-WINDOW, PARAGRAPH, BANDS = 24, 24, 2
+WINDOW, PARAGRAPH, BANDS = 24, 24, 1
 #: Kinds of paragraphs with one key that a task holds at most from each of two blocks.
 BLOCK_KINDS = 5_000
-#: Rows of single numbers up to which the keys found twice are broadcast.
-KEY_ROWS = 1_000_000
+#: Windows whose minima are worked out at once; places within them take 24 bits.
+SEGMENT = 4_000_000
 
+_TEXT = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(20240302).integers(0, 2**63, BANDS, np.uint64)
 
 
-def picks(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each band the keys and places of a document's paragraphs, from its shingle hashes."""
-    last = len(h) - (PARAGRAPH - SHINGLE)  # places from here on have no whole paragraph
-    for seed in _SEEDS:
-        value = mix(h ^ seed)
-        if last <= 0:
-            yield value[:0], np.zeros(0, np.int64)
-            continue
-        n = min(WINDOW, len(value))
-        view = np.lib.stride_tricks.sliding_window_view(value, n)
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-        at = at[at < last]
-        yield value[at], at
+def read_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, the text of each word, and the hashes of all runs of SHINGLE
+    words (runs across texts included; callers leave those out)."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(hash_word, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    return h, np.repeat(np.arange(len(texts)), n), shingles(h, SHINGLE)
 
 
-def _document_keys(text: str | None) -> np.ndarray:
-    h = shingles(word_hashes(text), SHINGLE)
-    return np.unique(np.concatenate([k for k, _ in picks(h)])).view(np.int64)
+def picks(of: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each band the keys and places of all paragraphs, from the text of each word and the shingle
+    hashes.  The sliding minimum is built by doubling; of equal hashes the first is picked."""
+    span = WINDOW + SHINGLE - 1
+    for seed in _SEEDS:
+        parts = [np.zeros(0, np.int64)]
+        for start in range(0, max(0, len(of) - span + 1), SEGMENT):
+            value = mix(g[start : start + SEGMENT + WINDOW - 1] ^ seed)
+            least = (value & ~_LOW) | np.arange(len(value), dtype=np.uint64)
+            width = 1
+            while 2 * width <= WINDOW:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            if width < WINDOW:
+                least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
+            whole = of[start : start + len(least)] == of[start + span - 1 : start + span - 1 + len(least)]
+            parts.append((least[whole] & _LOW).astype(np.int64) + start)
+        at = np.unique(np.concatenate(parts))
+        at = at[at + PARAGRAPH <= len(of)]
+        at = at[of[at] == of[at + PARAGRAPH - 1]]
+        yield mix(g[at] ^ seed), at
 
 
 def link_kinds(sets: list[frozenset], percent: int) -> list[int]:
@@ -108,38 +124,41 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_document_keys(t) for t in batch.column("text").to_pylist()]
-            n = [len(x) for x in found]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(found))], names=["doc_id", "key"])
+        for batch in slices(batches):
+            _, of, g = read_texts(batch.column("text").to_pylist())
+            found = [np.unique(np.column_stack([of[at], k.view(np.int64)]), axis=0) for k, at in picks(of, g)]
+            rows = np.concatenate(found)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows[:, 0])), pa.array(rows[:, 1])], names=["doc_id", "key"])
 
     found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, key long"))
-    shared = materialise(found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("key"))
-    again = found.join(bounded_broadcast(shared, KEY_ROWS), "key").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("keys"))
+    shared = materialise(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    again = found.join(bounded_broadcast(shared), "key").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("keys"))
     held = texts.join(bounded_broadcast(materialise(again)), F.col("doc_id") == F.col("of")).select("doc_id", "text", "keys")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, key, place, kinds, sets = [], [], [], [], []
-            for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("keys").to_pylist())):
-                words = word_hashes(text)
-                h = shingles(words, SHINGLE)
-                for band_keys, at in picks(h):
-                    hit = np.isin(band_keys.view(np.int64), np.array(wanted, np.int64))
-                    for k, p in zip(band_keys[hit].view(np.int64).tolist(), at[hit].tolist()):
-                        row.append(i)
-                        key.append(k)
-                        place.append(p)
-                        kinds.append(hashlib.blake2b(words[p : p + PARAGRAPH].tobytes(), digest_size=12).digest())
-                        sets.append(h[p : p + PARAGRAPH - SHINGLE + 1].astype(np.uint32).tobytes())
-            if row:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(key), pa.array(place, pa.int32()), pa.array(kinds, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "key", "place", "kind", "shingles"])
+        for batch in slices(batches):
+            words, of, g = read_texts(batch.column("text").to_pylist())
+            wanted = batch.column("keys").to_pylist()
+            ask = np.fromiter(chain.from_iterable(wanted), np.int64).view(np.uint64) + np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]).astype(np.uint64) * _TEXT
+            first = np.searchsorted(of, np.arange(len(wanted)))
+            row, key, place = [], [], []
+            for k, at in picks(of, g):
+                hit = np.isin(k + of[at].astype(np.uint64) * _TEXT, ask)
+                row.append(of[at[hit]])
+                key.append(k[hit].view(np.int64))
+                place.append(at[hit])
+            rows, places = np.concatenate(row), np.concatenate(place)
+            if len(rows):
+                kinds = [hashlib.blake2b(words[p : p + PARAGRAPH].tobytes(), digest_size=12).digest() for p in places.tolist()]
+                low = g.astype(np.uint32)
+                sets = [low[p : p + PARAGRAPH - SHINGLE + 1].tobytes() for p in places.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate(key)), pa.array((places - first[rows]).astype(np.int32)), pa.array(kinds, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "key", "place", "kind", "shingles"])
 
     places = materialise(held.mapInArrow(cut, f"doc_id {kind}, key long, place int, kind binary, shingles binary"))
     kinds = materialise(places.groupBy("key", "kind").agg(F.first("shingles").alias("shingles")))
     groups = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_KINDS).cast("int").alias("blocks")))
-    dealt = kinds.join(bounded_broadcast(groups, KEY_ROWS), "key").select("key", "kind", "shingles", "blocks", F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int").alias("block"))
+    dealt = kinds.join(bounded_broadcast(groups), "key").select("key", "kind", "shingles", "blocks", F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int").alias("block"))
     pairs = dealt.select("key", "kind", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "kind", "shingles")
     links = pairs.groupBy("key", "i", "j").applyInArrow(_link_block, "a binary, b binary")
