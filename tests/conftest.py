@@ -45,6 +45,11 @@ def rows_of(frame):
     return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
+@pytest.fixture(scope="session")
+def plain_rows():
+    return rows_of
+
+
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
