@@ -46,6 +46,8 @@ SHINGLE, PERCENT = 5, 80
 WINDOW, PARAGRAPH, BANDS = 24, 24, 1
 #: Kinds of paragraphs with one key that a task holds at most from each of two blocks.
 BLOCK_KINDS = 5_000
+#: Keys found twice up to which they are broadcast; they grow with the corpus, so the bound is small.
+KEY_ROWS = 50_000
 #: Windows whose minima are worked out at once; places within them take 24 bits.
 SEGMENT = 4_000_000
 
@@ -133,7 +135,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
     found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, key long"))
     shared = materialise(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    again = found.join(bounded_broadcast(shared), "key").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("keys"))
+    again = found.join(bounded_broadcast(shared, KEY_ROWS), "key").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("keys"))
     held = texts.join(bounded_broadcast(materialise(again)), F.col("doc_id") == F.col("of")).select("doc_id", "text", "keys")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
