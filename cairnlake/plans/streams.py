@@ -38,7 +38,7 @@ def _(s):
 @query("o209_journal_thresholds")
 def _(s):
     writes = _events(s).select(F.col("user_id").alias("file_id"), (1 + F.col("event_id") % 50).alias("len"))
-    return _drain(jobs.journal_thresholds(writes, 40, 900), "append")
+    return _drain(jobs.journal_thresholds(writes, 40, 900, idle_ms=None), "append")
 
 
 @query("o206_admission", sql="SELECT doc_id AS id, strlen(text) > 3500 AS direct FROM documents")

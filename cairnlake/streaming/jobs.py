@@ -41,9 +41,10 @@ def retained_versions(versions: DataFrame, width: str = "1 day", late: str = "1
     return versions.where("t = 3").withWatermark("ts", late).groupBy("pid", F.window("ts", width)).agg(newest.alias("id"), F.count(F.lit(1)).alias("versions"))
 
 
-def journal_thresholds(writes: DataFrame, max_entries: int, max_bytes: int, idle_ms: int = 30_000) -> DataFrame:
+def journal_thresholds(writes: DataFrame, max_entries: int, max_bytes: int, idle_ms: int | None = 30_000) -> DataFrame:
     """Emits (file_id, entries, bytes, due) whenever a journal passes a threshold or has been idle; what
-    is due empties it.  Input: file_id, len."""
+    is due empties it.  Input: file_id, len.  Without ``idle_ms`` there is no timeout, so that a run over
+    what is available ends."""
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         entries, size = state.get if state.exists else (0, 0)
         if state.hasTimedOut:
@@ -59,11 +60,12 @@ def journal_thresholds(writes: DataFrame, max_entries: int, max_bytes: int, idle
                     out.append((key[0], entries, size, due))
                     entries, size = 0, 0
         state.update((entries, size))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["file_id", "entries", "bytes", "due"])
 
-    return writes.select("file_id", "len").groupBy("file_id").applyInPandasWithState(step, "file_id long, entries long, bytes long, due string", "entries long, bytes long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return writes.select("file_id", "len").groupBy("file_id").applyInPandasWithState(step, "file_id long, entries long, bytes long, due string", "entries long, bytes long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def pending_deletions(requests: DataFrame) -> DataFrame:
