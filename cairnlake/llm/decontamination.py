@@ -85,10 +85,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N, share: int = SH
     unless there are too many verdicts to broadcast."""
     verdicts = contamination(docs, bench, n).where(is_contaminated(share))
     found = materialise(verdicts.groupBy(F.col("text_md5").alias("found_md5")).agg(F.first("spans").alias("found_spans")))
+    held = docs.select(F.struct("*").alias("row"), F.col("text"))
     match = F.md5(F.col("text")) == F.col("found_md5")
     if mode == "documents":
-        return docs.join(bounded_broadcast(found.select("found_md5")), match, "left_anti")
-    held = docs.select(F.struct("*").alias("row"), F.col("text"))
+        return held.join(bounded_broadcast(found.select("found_md5")), match, "left_anti").select("row.*")
     met = held.join(bounded_broadcast(found), match, "left")
     pieces = F.regexp_extract_all("text", F.lit(_PIECE), 0)
 

@@ -98,11 +98,11 @@ WITH RECURSIVE j AS (
          floor((pos + 1)::DOUBLE * (2147483648.0::DOUBLE / (((k * {MULTIPLIER} + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1)::DOUBLE))::BIGINT
   FROM j WHERE pos <= {SHARDS}),
 s AS (SELECT key, max(pos) FILTER (pos < {SHARDS})::INT AS shard, max(pos) FILTER (pos < {SHARDS} + 1)::INT AS grown_shard FROM j GROUP BY key),
-b AS (SELECT doc_id, text, coalesce(strlen(text), 0)::BIGINT AS bytes, encode(text)::BIT AS bits FROM documents),
+b AS (SELECT doc_id, text, coalesce(strlen(text), 0)::BIGINT AS bytes, encode(nullif(text, ''))::BIT AS bits FROM documents),
 c AS (SELECT *, CASE WHEN text = '' THEN 0::BIGINT WHEN text IS NOT NULL THEN xor(list_reduce(
         list_prepend(4294967295::BIGINT, list_transform(range(8 * bytes), lambda i: get_bit(bits, (i // 8 * 8 + 7 - i % 8)::INT)::BIGINT)),
         lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295::BIGINT) END AS text_crc32 FROM b)
 SELECT doc_id, bytes + {ROW_BYTES} AS size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY coalesce(doc_id, 0) % {BLOCKS}, doc_id NULLS FIRST, text_crc32 NULLS FIRST, bytes) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY (coalesce(doc_id, 0) % {BLOCKS} + {BLOCKS}) % {BLOCKS}, doc_id NULLS FIRST, text_crc32 NULLS FIRST, bytes) - 1 AS slot, grown_shard
 FROM c JOIN s ON coalesce(doc_id, 0) = key
 """
