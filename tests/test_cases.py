@@ -198,7 +198,7 @@ def test_pending_deletions(spark, tmp_path):
         made = spark.createDataFrame(rows, "key string, at long, action string, deadline_s long").selectExpr("key", "timestamp_seconds(at) AS ts", "action", "deadline_s")
         made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
-    put([("a", 0, "delete", 10), ("b", 0, "delete", 10), ("b", 5, "cancel", 0)])
+    put([("a", 100, "delete", 10), ("b", 100, "delete", 10), ("b", 105, "cancel", 0)])
     stream = jobs.read_table(spark, str(tmp_path / "in")).withWatermark("ts", "1 second")
     run = jobs.pending_deletions(stream).writeStream.format("memory").queryName("due").outputMode("append").start()
     run.processAllAvailable()
@@ -206,7 +206,7 @@ def test_pending_deletions(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     got = {r.key: r.due for r in spark.table("due").collect()}
-    assert got == {"a": 10}
+    assert got == {"a": 110}
 
 
 def test_chunk_folder(spark, tmp_path):
