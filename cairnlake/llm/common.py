@@ -51,6 +51,15 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold TEXTS rows at most: whole texts are wide rows, and a batch is held by the
+    JVM outside its heap and by the Python worker at once.  The setting stays with the session, since
+    the caller runs the plan later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS:
+        spark.conf.set(key, str(TEXTS))
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count shows at most ``rows`` rows, else leave the join to Spark
     (shuffled, with adaptive splitting of skewed partitions).  Give a materialised table."""

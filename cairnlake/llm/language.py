@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, materialise, slices, small_batches
 
 #: Documents per language that the models learn from and are calibrated on, in expectation.
 FIT_DOCS = 3000
@@ -39,7 +39,7 @@ ORDER, BITS = 4, 12
 #: Letters below this code point have a code of their own.
 DIRECT = 0xF00
 #: Characters scored at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Rejection: quantile of calibration cross-entropies, and standard errors allowed beyond it.
 QUANTILE, ERRORS = 0.999, 4.0
 #: Nats per character that a document may lie above the calibrated limit: rejection is for texts that no
@@ -200,6 +200,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey | None, np.ndarray]:
     """Models and rejection limits, learned from text and lang of rows that are not held out."""
+    small_batches(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     per = materialise(usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.count(F.lit(1))).alias("share")).select(F.col("lang").alias("of"), "share"))
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey | None, np
     sample = materialise(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 for _, parts in _pieces([t for x, t in zip(langs, texts) if x == lang]):
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey | None, np
     model = KneserNey({lang: (part["code"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for lang, part in counted.groupby("lang")})
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for rows, parts in _pieces(texts):
                 sums, n = model.totals(parts)
@@ -242,12 +243,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey | None, np
 
 def identify(docs: DataFrame, model: KneserNey | None, limits: np.ndarray, carry: Column | None = None) -> DataFrame:
     """``row`` (struct of all columns, or what ``carry`` gives), lang_pred, score, cross_entropy, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model, limits))
     held = docs.select((F.struct("*") if carry is None else carry).alias("row"), "text")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, limits = shared.value
-        for batch in parts:
+        for batch in slices(parts):
             names, score, entropy, rejected = _identify(model, limits, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=["row", "lang_pred", "score", "cross_entropy", "rejected"])
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, slices
+from .common import bounded_broadcast, materialise, slices, small_batches
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -192,6 +192,7 @@ def _link_block(table: pa.Table, percent: int) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     signed = materialise(signatures(docs, shingle))
     classes = materialise(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))

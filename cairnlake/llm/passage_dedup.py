@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, slices
+from .common import bounded_broadcast, materialise, slices, small_batches
 from .components import connected_components
 from .minhash import hash_word, mix, shingles
 
@@ -122,6 +122,7 @@ def _link_block(table: pa.Table) -> pa.Table:
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, place, cluster, first_doc_id, removed): the paragraphs that several documents hold."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
 

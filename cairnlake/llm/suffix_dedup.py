@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, materialise, slices, small_batches
 
 LENGTH, GRAM = 200, 32
 PIECE = 1_000_000
 #: Different contexts of an anchor hash in a block, and blocks up to which suffix arrays judge them.
 GROUP, BLOCKS = 1000, 16
-#: Windows that a task judges, about, contexts in a batch, and texts that are read at once.
-TASK_WINDOWS, BATCH, TEXTS = 150_000, 500, 1000
+#: Windows that a task judges, about, and contexts in a batch.
+TASK_WINDOWS, BATCH = 150_000, 500
 #: Rows of single numbers up to which the hashes found twice are broadcast.
 HASH_ROWS = 1_000_000
 
@@ -165,12 +165,6 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + LENGTH) for p in np.split(starts, cut)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            yield batch.slice(at, TEXTS)
-
-
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -227,12 +221,12 @@ def text_keys(text: Column) -> list[Column]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, whole, spans): for each text, by its MD5, whether it repeats as a whole, and spans
     (neither merged nor sorted) of bytes under windows that repeat."""
-    kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *text_keys(F.col("text"))).where(F.octet_length("text") >= LENGTH)
     copies = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = text_anchors([t.encode() for t in batch.column("text").to_pylist()])
             unique = [np.unique(x[:, 0], return_counts=True) for x in found]
             n = [len(u) for u, _ in unique]
@@ -247,7 +241,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     held = keyed.join(bounded_broadcast(again), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             raws = [t.encode() for t in batch.column("text").to_pylist()]
             keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
             rows: dict[tuple, list[int]] = {}
@@ -304,7 +298,7 @@ def remove_repeats(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     met = keyed.join(bounded_broadcast(spans), ["k1", "k2"], "left").select("row", "text", "whole", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             removed, kept = [], []
             for text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "spans"))):
                 raw = (text or "").encode()
