@@ -173,6 +173,32 @@ def test_passages(spark):
     assert got[100].n_removed_words == 0 and all(got[100 + i].n_removed_words >= 24 for i in range(1, 6))
 
 
+def test_recall_of_near_equal_passages(spark):
+    r = random.Random(31)
+    sizes, pairs, n = {51: 0.12, 55: 0.08, 60: 0.04, 80: 0.01, 100: 0.01}, [], 200
+    for size in sizes:
+        for _ in range(n):
+            a = [f"v{r.getrandbits(40)}" for _ in range(size)]
+            b = list(a)
+            b[r.randrange(size)] = f"v{r.getrandbits(40)}"
+            pairs.append((size, a, b))
+    rows = []
+    for i, (size, a, b) in enumerate(pairs):
+        cut = [[frozenset(tuple(x[p + j : p + j + 5]) for j in range(20)) for p in range(size - 23)] for x in (a, b)]
+        assert any(100 * len(x & y) >= 80 * len(x | y) for x in cut[0] for y in cut[1])
+        rows += [(2 * i + k, " ".join([f"v{r.getrandbits(40)}" for _ in range(30)] + x + [f"v{r.getrandbits(40)}" for _ in range(30)])) for k, x in enumerate((a, b))]
+    got = {x.doc_id for x in passage_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = collections.Counter(size for i, (size, _, _) in enumerate(pairs) if not {2 * i, 2 * i + 1} <= got)
+    assert all(missed[size] <= most * n for size, most in sizes.items()), missed
+
+
+def test_repeats_of_short_texts(spark):
+    rows = [(10 * n + k, " ".join(words(n, n))) for n in range(23, 28) for k in range(2)]
+    got = {r.doc_id: r.n_removed_words for r in passage_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {10 * n + k for n in range(24, 28) for k in range(2)}
+    assert all(24 * (i % 2) <= m <= i // 10 * (i % 2) for i, m in got.items())
+
+
 def test_passages_in_blocks(spark, monkeypatch):
     shared = words(30, 50)
     rows = [(i, " ".join(words(40, 80 + i) + shared[:15] + words(3, i) + shared[15:] + words(30, 190 + i))) for i in range(40)]
