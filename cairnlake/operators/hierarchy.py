@@ -69,6 +69,13 @@ def paths(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
+def id_paths(tree: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, path) of the given nodes (column ``node``): climbs, then joins the names from the top down."""
+    named = climb(tree, start).join(tree.select(F.col("id").alias("ancestor"), "n"), "ancestor")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("level", "n")), asc=False), lambda x: x["n"])
+    return named.groupBy("node").agg(F.array_join(parts, "/").alias("path"))
+
+
 def path_prefixes(path: Column) -> Column:
     """All proper prefixes of a path and itself, as an array: what mkdir -p has to make."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")

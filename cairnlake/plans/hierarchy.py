@@ -11,7 +11,7 @@ _DOWN = "down(root, node, level) AS (SELECT id, id, 0 FROM tree WHERE id IN (103
 
 
 def _small(s):
-    """The upper levels: what climbing from every node would multiply is left to the roll-up."""
+    """The upper levels, as the SQL of ``o139_id_to_path`` asks; ``o139_id_to_path_whole`` takes every node."""
     return s.tree.where("id < 10000000000")
 
 
@@ -27,10 +27,12 @@ def _(s):
 
 @query("o139_id_to_path", "tree", recursive=True, sql=f"{_UP} SELECT node, string_agg(t.n, '/' ORDER BY level DESC) AS path FROM up JOIN tree t ON t.id = ancestor WHERE node < 10000000000 GROUP BY node")
 def _(s):
-    climbed = hierarchy.climb(s.tree, _small(s).select(F.col("id").alias("node")))
-    named = climbed.join(s.tree.select(F.col("id").alias("ancestor"), "n"), "ancestor")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("level", "n")), asc=False), lambda x: x["n"])
-    return named.groupBy("node").agg(F.array_join(parts, "/").alias("path"))
+    return hierarchy.id_paths(s.tree, _small(s).select(F.col("id").alias("node")))
+
+
+@query("o139_id_to_path_whole", "tree", recursive=True, sql=f"{_PATHS} SELECT id AS node, path FROM paths")
+def _(s):
+    return hierarchy.id_paths(s.tree, s.tree.select(F.col("id").alias("node")))
 
 
 @query("o140_recursive_listing", "tree", recursive=True, sql=f"{_PATHS} SELECT DISTINCT CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' ELSE path END AS key, len(string_split(path, '/')) > 2 AS prefix FROM paths WHERE path LIKE 'EUROPE/%'")
