@@ -25,6 +25,11 @@ def _(s):
     return hierarchy.paths(s.tree).where("path LIKE 'ASIA/%'").where(F.size(F.split("path", "/")) == 3)
 
 
+@query("o138_path_to_id_whole", "tree", recursive=True, sql=f"{_PATHS} SELECT id, path FROM paths")
+def _(s):
+    return hierarchy.paths(s.tree)
+
+
 @query("o139_id_to_path", "tree", recursive=True, sql=f"{_UP} SELECT node, string_agg(t.n, '/' ORDER BY level DESC) AS path FROM up JOIN tree t ON t.id = ancestor WHERE node < 10000000000 GROUP BY node")
 def _(s):
     return hierarchy.id_paths(s.tree, _small(s).select(F.col("id").alias("node")))
@@ -61,6 +66,11 @@ def _(s):
     return rows.select((F.col("id") + 90000000000).alias("id"), F.concat("path", F.lit("/new")).alias("path"))
 
 
+@query("o143_pending_path_whole", "tree", recursive=True, sql=f"{_PATHS} SELECT 90000000000 + id AS id, path || '/new' AS path FROM paths")
+def _(s):
+    return hierarchy.paths(s.tree).select((F.col("id") + 90000000000).alias("id"), F.concat("path", F.lit("/new")).alias("path"))
+
+
 @query("o144_descendants", "tree", recursive=True, sql=f"{_DOWN} SELECT root, node, level FROM down")
 def _(s):
     return hierarchy.descend(s.tree, s.spark.createDataFrame([(103,), (10007,)], "root long"))

@@ -35,3 +35,9 @@ def plain_paths(parents):
 def test_id_to_path_of_every_node(spark, parents):
     got = {r.node: r.path for r in plans.QUERIES["o139_id_to_path_whole"](spark, DATA).collect()}
     assert got == plain_paths(parents) and max(got) > 20_000_000_000
+
+
+def test_path_to_id_and_pending_path_of_every_node(spark, parents):
+    want = plain_paths(parents)
+    assert {r.id: r.path for r in plans.QUERIES["o138_path_to_id_whole"](spark, DATA).collect()} == want
+    assert {r.id: r.path for r in plans.QUERIES["o143_pending_path_whole"](spark, DATA).collect()} == {90000000000 + k: f"{v}/new" for k, v in want.items()}
