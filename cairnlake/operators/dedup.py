@@ -46,6 +46,16 @@ def resolve_batch(ids: DataFrame) -> DataFrame:
     return ids.join(back, "id", "left").select("pos", F.when(F.col("id") < 0, F.col("target")).otherwise(F.col("id")).alias("id"))
 
 
+def numbered(table: DataFrame, key: str, width: int = 1_000_000) -> DataFrame:
+    """The table with ``pos``, its place from 0 by a key of whole numbers without repeats.  Places are counted within ranges
+    of ``width`` keys and only the ranges' counts are summed in one task."""
+    ranged = table.withColumn("range", F.expr(f"{key} div {width}"))
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return ranged.withColumn("nth", nth).join(counts.select("range", before.alias("before")), "range").select(*table.columns, (F.col("before") + F.col("nth")).alias("pos"))
+
+
 def duplicate_groups(data: DataFrame, strict: bool = False) -> DataFrame:
     """Groups of blocks with equal size and hashes: count, least id as master, bytes a merge frees.
     ``strict`` keeps only positive hashes, as signed comparison of unsigned values would."""

@@ -45,6 +45,13 @@ def _(s):
     return dedup.resolve_batch(rows)
 
 
+@query("o221_resolve_batch_whole", "data", sql="""ids AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN id % 4 = 3 THEN -(row_number() OVER (ORDER BY id) - 2) - 1 ELSE id END AS id FROM data)
+  SELECT a.pos, CASE WHEN a.id < 0 THEN b.id ELSE a.id END AS id FROM ids a LEFT JOIN ids b ON a.id = -b.pos - 1""")
+def _(s):
+    rows = dedup.numbered(s.data.select("id"), "id")
+    return dedup.resolve_batch(rows.select("pos", F.when(F.col("id") % 4 == 3, -(F.col("pos") - 1) - 1).otherwise(F.col("id")).alias("id")))
+
+
 @query("o101_duplicate_groups", "data", sql=f"SELECT {_GROUP}, count(*) AS cnt, min(id) AS master, ((count(*) - 1) * os)::BIGINT AS freed FROM data WHERE {_USABLE} GROUP BY {_GROUP} HAVING count(*) > 1")
 def _(s):
     return dedup.duplicate_groups(s.data).orderBy("master")

@@ -8,11 +8,11 @@ from cairnlake.catalog import Store
 from cairnlake.operators import dedup, hierarchy, intervals
 
 DATA = "/root/testdata/sf0.001"
+plans.load()
 
 
 @pytest.fixture(scope="module")
 def store(spark):
-    plans.load()
     return Store(spark, DATA)
 
 
@@ -41,3 +41,17 @@ def test_path_to_id_and_pending_path_of_every_node(spark, parents):
     want = plain_paths(parents)
     assert {r.id: r.path for r in plans.QUERIES["o138_path_to_id_whole"](spark, DATA).collect()} == want
     assert {r.id: r.path for r in plans.QUERIES["o143_pending_path_whole"](spark, DATA).collect()} == {90000000000 + k: f"{v}/new" for k, v in want.items()}
+
+
+def test_resolve_batch_of_the_whole_table(spark):
+    large = DATA.replace("0.001", "0.01")
+    ids = sorted(r.id for r in Store(spark, large).data.select("id").collect())
+    batch = [-(p - 1) - 1 if i % 4 == 3 else i for p, i in enumerate(ids)]
+    got = {r.pos: r.id for r in plans.QUERIES["o221_resolve_batch_whole"](spark, large).collect()}
+    assert got == {p: batch[-i - 1] if i < 0 else i for p, i in enumerate(batch)} and len(got) > 400
+
+
+def test_numbering_over_ranges(spark):
+    keys = [-25, -10, -9, -1, 0, 3, 9, 10, 11, 500]
+    got = {r.id: r.pos for r in dedup.numbered(spark.createDataFrame([(k,) for k in keys], "id long"), "id", 10).collect()}
+    assert got == {k: p for p, k in enumerate(keys)}
