@@ -2,24 +2,34 @@
 
 Each step climbs or descends one level by a join on ids, so the work is a join per level and no row
 limit of recursive SQL applies.  A depth bound and the bound of distinct (node, ancestor) pairs guard
-against cycles: with a cycle, climbing stops at ``depth`` levels.
+against cycles: with a cycle, climbing stops at ``depth`` levels if one is given, and else raises
+when rows are left past DEPTH levels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 64
 
 
-def climb(tree: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _rounds(depth: int | None) -> Iterator[int]:
+    """Rounds of a walk: ``depth``; without it, until the caller stops, or raise past DEPTH levels."""
+    yield from range(DEPTH + 1 if depth is None else depth)
+    if depth is None:
+        raise ValueError(f"the tree has more than {DEPTH} levels or a cycle; give a depth to stop there")
+
+
+def climb(tree: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, ancestor, level) of the given nodes (column ``node``), themselves at level 0; the walk ends
     at a parent without a row."""
     links = tree.select(F.col("id").alias("ancestor"), F.abs("pid").alias("up"))
     at = start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level"))
     out = at
-    for _ in range(depth):
+    for _ in _rounds(depth):
         at = at.join(links, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("level") + 1).alias("level"))
         at = at.join(links.select("ancestor"), "ancestor", "left_semi").select("node", "ancestor", "level")
         if at.isEmpty():
@@ -28,12 +38,12 @@ def climb(tree: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def descend(tree: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
+def descend(tree: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, level) of everything below the roots (column ``root``), themselves at level 0."""
     links = tree.select(F.abs("pid").alias("parent"), F.col("id").alias("child"))
     at = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level"))
     out = at
-    for _ in range(depth):
+    for _ in _rounds(depth):
         at = at.join(links, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("level") + 1).alias("level"))
         if at.isEmpty():
             break
@@ -41,12 +51,12 @@ def descend(tree: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def roll_up(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
+def roll_up(tree: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, total, newest_did): bytes and largest block id in and below every node.  Each round sends the
     sums of a level's children to their parents, so a row is sent once per level above it."""
     at = tree.select("id", "s", "did")
     out = at
-    for _ in range(depth):
+    for _ in _rounds(depth):
         at = at.join(tree.select("id", "pid"), "id").groupBy(F.abs("pid").alias("id")).agg(F.sum("s").alias("s"), F.max("did").alias("did"))
         at = at.join(tree.select("id"), "id", "left_semi")
         if at.isEmpty():
@@ -55,13 +65,13 @@ def roll_up(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out.groupBy("id").agg(F.sum("s").cast("long").alias("total"), F.max("did").alias("newest_did"))
 
 
-def paths(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
+def paths(tree: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, path): names from the root down, joined by slashes."""
     names = tree.select(F.col("id").alias("child"), F.abs("pid").alias("parent"), F.col("n").alias("name"))
     top = names.join(tree.select(F.col("id").alias("parent")), "parent", "left_anti")
     at = top.select(F.col("child").alias("id"), F.col("name").alias("path"))
     out = at
-    for _ in range(depth):
+    for _ in _rounds(depth):
         at = at.join(names, F.col("id") == F.col("parent")).select(F.col("child").alias("id"), F.concat_ws("/", "path", "name").alias("path"))
         if at.isEmpty():
             break

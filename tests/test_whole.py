@@ -55,3 +55,14 @@ def test_numbering_over_ranges(spark):
     keys = [-25, -10, -9, -1, 0, 3, 9, 10, 11, 500]
     got = {r.id: r.pos for r in dedup.numbered(spark.createDataFrame([(k,) for k in keys], "id long"), "id", 10).collect()}
     assert got == {k: p for p, k in enumerate(keys)}
+
+
+def test_deeper_trees_raise(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "DEPTH", 3)
+    columns = "id long, pid long, n string, s long, did long"
+    walks = (lambda t: hierarchy.climb(t, t.select(F.col("id").alias("node"))), lambda t: hierarchy.descend(t, t.where("id = 1").select(F.col("id").alias("root"))), hierarchy.roll_up, hierarchy.paths)
+    fits, deep = (spark.createDataFrame([(i, i - 1, f"n{i}", 1, i) for i in range(1, n)], columns) for n in (5, 6))
+    for walk in walks:
+        assert walk(fits).count() >= 4
+        with pytest.raises(ValueError):
+            walk(deep)
