@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,9 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows up to which a measured side of a join is broadcast (a hint is given only after counting).
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a measured side of a join is broadcast (a hint is given only after measuring), and
+#: bytes that a row costs besides its values.
+BROADCAST_BYTES, ROW_OVERHEAD = 32 << 20, 40
+
+#: Bytes of an Arrow batch, about; a row that is larger makes a batch of its own.
+BATCH_BYTES = 32 << 20
 
 #: Texts, and characters of texts, that a Python worker reads at once.
 TEXTS, CHARACTERS = 1000, 10_000_000
@@ -31,15 +37,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: below ``spark.checkpoint.dir``, or, where that
-    setting is missing (tests in local mode), below a local folder that is then set as such."""
+    """A new folder that every executor sees, below ``spark.checkpoint.dir``.  Where that setting is
+    missing, a local folder is made and set as such in local mode (tests); a cluster raises, since its
+    executors share no local folder.  The folder is deleted when the application ends."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='cairnlake-')}"
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/cairnlake-{uuid.uuid4().hex}"
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            base = known.get()
+        elif re.fullmatch(r"local(\[.*\])?", context.master):
+            base = f"file://{tempfile.mkdtemp(prefix='cairnlake-')}"
+            context.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{base}/cairnlake-{uuid.uuid4().hex}"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -51,19 +68,46 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold TEXTS rows at most: whole texts are wide rows, and a batch is held by the
-    JVM outside its heap and by the Python worker at once.  The setting stays with the session, since
-    the caller runs the plan later."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXTS:
-        spark.conf.set(key, str(TEXTS))
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a count shows at most ``rows`` rows, else leave the join to Spark
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold TEXTS rows and about BATCH_BYTES at most: whole texts are wide rows, and a
+    batch is held by the JVM outside its heap and by the Python worker at once.  The settings stay with
+    the session, since the caller runs the plan later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return 8 + F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, StructType):
+        return sum((value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + value_bytes(x, kind.elementType))
+        else:
+            inner = 8 * F.greatest(F.size(value), F.lit(0)).cast("long")
+        return 24 + F.coalesce(inner, F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take in a broadcast."""
+    row = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_OVERHEAD).cast("long"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its measured size is at most ``most`` bytes, else leave the join to Spark
     (shuffled, with adaptive splitting of skewed partitions).  Give a materialised table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if table_bytes(df) <= most else df
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +120,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, n)
             at += n
 
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body`` (also inside lambdas, where
     a plain column expression would be evaluated again for each element)."""

@@ -351,7 +351,7 @@ def test_pipeline(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     from cairnlake.llm import decontamination, mixing
 
-    bad = decontamination.digest(docs, bench).where("contaminated")
+    bad = decontamination.digest(docs, bench).where("n_hit > 0")
     assert three.columns == columns and ids(three) == ids(docs) - ids(bad)
     four = pipeline.mix(spark, docs, DATA)
     want = {r.doc_id: r.taken // r.size for r in mixing.digest(docs).collect() if r.size}

@@ -64,7 +64,7 @@ def test_operators_keep_clashing_columns(repeated, bench):
     assert cut.columns == repeated.columns and cut.count() == n
     assert {r.row for r in cut.select("row").collect()} == {"mine row"}
     kept = decontamination.decontaminate(repeated, bench)
-    bad = decontamination.contamination(repeated, bench).where(decontamination.is_contaminated()).count()
+    bad = decontamination.contamination(repeated, bench).where("n_hit > 0").count()
     assert kept.columns == repeated.columns and kept.count() == n - bad and bad
     assert mixing.mix_documents(repeated).columns == repeated.columns
     assert sharding.shard_documents(repeated).count() == n
@@ -78,6 +78,39 @@ def test_spans_are_cut_and_the_rest_stays(spark):
     assert got == {1: "Before, this. After -- it!", 2: "clean text"}
 
 
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_hits_in_long_documents_go(spark, mode):
+    item = " ".join(f"b{i}" for i in range(15))
+    text = " ".join(f"x{i}" for i in range(500)) + f" {item} " + " ".join(f"y{i}" for i in range(500))
+    docs = spark.createDataFrame([(1, text), (2, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    row = decontamination.digest(docs, bench).where("doc_id = 1").first()
+    assert (row.n_words, row.n_hit, row.contaminated) == (1015, 15, False)
+    got = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, mode=mode).collect()}
+    assert set(got) == ({2} if mode == "documents" else {1, 2})
+    assert all("b3" not in t for t in got.values()) and got.get(1, text).count("x") + got.get(1, text).count("y") == 1000
+
+
+def test_several_passes_over_the_benchmark(odd, bench, monkeypatch, compare):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 700)
+    compare(decontamination.digest(odd, bench), decontamination.SQL, documents=odd, benchmark=bench)
+
+
+def test_hash_hits_need_equal_words(odd, bench, monkeypatch, compare, spark):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))  # all hashes collide
+    compare(decontamination.digest(odd.where("doc_id != 8"), bench), decontamination.SQL, documents=odd.where("doc_id != 8"), benchmark=bench)
+
+
+def test_very_many_spans(spark):
+    docs = spark.createDataFrame([(1, "zz a " * 100_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "zz")], "item_id long, text string")
+    row = decontamination.contamination(docs, bench).first()
+    assert row.n_hit == 100_000 and len(row.spans) == 100_000
+    assert decontamination.decontaminate(docs, bench, mode="spans").first().text.split() == ["a"] * 100_000
+
+
 def test_no_broadcast_beyond_the_bound(odd, bench, monkeypatch, compare):
     for module in (decontamination, mixing, sharding):
         monkeypatch.setattr(module, "bounded_broadcast", lambda df, rows=0: df)
