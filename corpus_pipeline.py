@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents without a verified hit of the benchmark; the whole document goes, however long it is."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
