@@ -4,13 +4,14 @@ Words are summed per source, targets follow by sharing the whole size by weight
 (a multiple of each source's own size), and every document is emitted floor(rate) times plus one
 hash-seeded Bernoulli copy with probability equal to the fraction of the rate.
 
-Three passes over the sizes, no shuffle of documents: two aggregations by source (partial sums
-first, so a source with a third of all rows sends one row per task) and a join with the table of
-sources, which is broadcast only when its row count has been checked.
+Two passes over the texts, no shuffle of documents: an aggregation by source (partial sums first, so
+a source with a third of all rows sends one row per task) and a join with the table of sources, which
+is broadcast only when its size has been checked.
 
-The seed of a source is the one among ``SEEDS`` whose draws come nearest to its target; for any
-fixed seed each copy is a Bernoulli draw that depends on the document's id alone, so reruns and
-other partitionings agree.
+There is one draw for each document, which depends on its id alone: reruns and other partitionings
+agree, and another document changes a copy only through the rate.  The words taken from a source miss
+its target by about sqrt(sum of size^2 * part * (1 - part)), a share that falls with the square root of
+the number of documents.
 
 Defined cases: null text has size 0; a null source is a source of its own and the last in order; an
 empty table gives no rows; a source without words has target 0 and takes nothing; rows that repeat
@@ -29,18 +30,13 @@ from .common import blank_word_count, bounded_broadcast, materialise
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Seeds tried for each source; four draws of 32 bits come from one MD5.
-SEEDS = 16
+SEED = "0:"
 
 
-def draws(doc_id: Column, text: Column) -> list[Column]:
-    """SEEDS numbers from 0 to 2**32-1, decided by the document's id (by its text if that is null)."""
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number from 0 to 2**32-1, decided by the document's id (by its text if that is null)."""
     key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(text)), F.lit(""))
-    out = []
-    for block in range(SEEDS // 4):
-        digest = F.md5(F.concat(F.lit(f"{block}:"), key))
-        out += [F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("long") for j in range(4)]
-    return out
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), key)), 1, 8), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -76,22 +72,12 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CA
     """One row per document: ``row`` (struct of all its columns), size, source_size, target,
     copies (how often the mix takes it)."""
     sized = docs.select(F.struct("*").alias("row"), F.col("source"), blank_word_count(F.col("text")).alias("size"))
-    thin = docs.select("doc_id", "text", "source", blank_word_count(F.col("text")).alias("size"))
-    sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialise(source_targets(sizes, weights, cap))
+    sizes = docs.select("source", blank_word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = targets.withColumn("whole", F.floor(rate).cast("long")).withColumn("part", (rate - F.floor(rate)) * 4294967296.0)
-
-    rates_small = bounded_broadcast(rates.withColumnRenamed("source", "to_source"))
-    drawn = thin.join(rates_small, F.col("source").eqNullSafe(F.col("to_source")))
-    sums = [F.sum(F.when(u < F.col("part"), F.col("size")).otherwise(0)).alias(f"took_{k}") for k, u in enumerate(draws(F.col("doc_id"), F.col("text")))]
-    took = drawn.groupBy("source").agg(F.first("whole").alias("whole"), F.first("part").alias("part"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *sums)
-    miss = F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"took_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)])
-    chosen = materialise(took.select(F.col("source").alias("to_source"), "source_size", "target", "whole", "part", F.array_min(miss)["seed"].alias("seed")))
-
-    joined = sized.join(bounded_broadcast(chosen), F.col("source").eqNullSafe(F.col("to_source")))
-    draw = F.coalesce(*[F.when(F.col("seed") == k, u) for k, u in enumerate(draws(F.col("row.doc_id"), F.col("row.text")))])
-    copies = F.col("whole") + F.when(draw < F.col("part"), 1).otherwise(0)
+    rates = materialise(targets.select(F.col("source").alias("to_source"), "source_size", "target", F.floor(rate).cast("long").alias("whole"), ((rate - F.floor(rate)) * 4294967296.0).alias("part")))
+    joined = sized.join(bounded_broadcast(rates), F.col("source").eqNullSafe(F.col("to_source")))
+    copies = F.col("whole") + F.when(draw(F.col("row.doc_id"), F.col("row.text")) < F.col("part"), 1).otherwise(0)
     return joined.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
@@ -106,9 +92,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return plan.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-_DRAWS = ", ".join(f"('0x' || substr(md5('{b}:' || k), {1 + 8 * j}, 8))::BIGINT" for b in range(SEEDS // 4) for j in range(4))
-_TAKES = ", ".join(f"sum(CASE WHEN u[{k + 1}] < part THEN size ELSE 0 END)::BIGINT" for k in range(SEEDS))
-
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   coalesce(doc_id::VARCHAR, 'text ' || md5(text), '') AS k FROM documents),
@@ -122,10 +105,6 @@ t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE weight
              / nullif(weights - sum(CASE WHEN capped THEN weight ELSE 0 END) OVER (), 0)::DOUBLE END AS target FROM c),
 p AS (SELECT *, floor(coalesce(target / nullif(source_size, 0), 0))::BIGINT AS whole FROM t),
 w AS (SELECT *, (coalesce(target / nullif(source_size, 0), 0) - whole) * 4294967296.0::DOUBLE AS part FROM p),
-j AS (SELECT d.*, w.source_size, w.target, w.whole, w.part, [{_DRAWS}] AS u FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
-m AS (SELECT source, any_value(whole) AS whole, any_value(source_size) AS source_size, any_value(target) AS target, [{_TAKES}] AS took FROM j GROUP BY source),
-n AS (SELECT source, list_transform(took, lambda x: abs(whole * source_size + x - target)) AS miss FROM m),
-e AS (SELECT source, list_position(miss, list_min(miss)) AS seed FROM n)
-SELECT j.doc_id, j.size, j.source_size, j.target, (j.size * (j.whole + CASE WHEN j.u[e.seed] < j.part THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM j JOIN e ON j.source IS NOT DISTINCT FROM e.source
+j AS (SELECT d.*, w.source_size, w.target, w.whole, w.part, ('0x' || substr(md5('{SEED}' || k), 1, 8))::BIGINT AS u FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN u < part THEN 1 ELSE 0 END))::BIGINT AS taken FROM j
 """
