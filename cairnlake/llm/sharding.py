@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import bounded_broadcast, materialise
 
@@ -66,8 +67,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, block_rows: int = BLO
     """``row`` (struct of all columns, or what ``carry`` gives), bytes, text_crc32, shard,
     grown_shard and slot of each document.  Only what is carried goes through the shuffle."""
     blocks = max(BLOCKS, -(-docs.count() // (shards * block_rows)))
-    block = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(blocks)).cast("int")
-    shard = jump_hash(F.col("doc_id"), shards)
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    key = F.col("doc_id") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    crc = F.crc32(F.encode("text", "UTF-8"))
+    mixed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc.cast("string")))
+    block = F.pmod(F.conv(F.substring(mixed, 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int")
+    shard = jump_hash(key, shards)
     counts = docs.select(shard.alias("shard"), block.alias("block")).groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(counts.select("shard", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
@@ -75,9 +80,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, block_rows: int = BLO
         (F.struct("*") if carry is None else carry).alias("row"),
         F.col("doc_id").alias("id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         shard.alias("shard"),
-        jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        jump_hash(key, shards + 1).alias("grown_shard"),
         block.alias("block"),
     )
     number = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "bytes"))
@@ -103,6 +108,6 @@ c AS (SELECT *, CASE WHEN text = '' THEN 0::BIGINT WHEN text IS NOT NULL THEN xo
         list_prepend(4294967295::BIGINT, list_transform(range(8 * bytes), lambda i: get_bit(bits, (i // 8 * 8 + 7 - i % 8)::INT)::BIGINT)),
         lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295::BIGINT) END AS text_crc32 FROM b)
 SELECT doc_id, bytes + {ROW_BYTES} AS size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY (coalesce(doc_id, 0) % {BLOCKS} + {BLOCKS}) % {BLOCKS}, doc_id NULLS FIRST, text_crc32 NULLS FIRST, bytes) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || coalesce(':' || text_crc32, '')), 1, 8))::BIGINT % {BLOCKS}, doc_id NULLS FIRST, text_crc32 NULLS FIRST, bytes) - 1 AS slot, grown_shard
 FROM c JOIN s ON coalesce(doc_id, 0) = key
 """
