@@ -11,6 +11,12 @@ One aggregation of pages by host (partial sums first: a hot host is one row per
 after that works on one row per host.  Pages then meet the table of hosts, which is broadcast only
 when its row count has been checked.
 
+The registered domain is the last label of the host and one more, below the suffixes of several labels
+in ``SUFFIXES`` one more than that; an IP address is a domain of its own below the suffix ``ip``.
+
+The tables have no outcomes of pages, so a label of the table ``labels`` counts for the page whose
+page_id equals its doc_id.
+
 Defined cases: a null url or one without ``://`` has an empty host and path; pages without labels
 count in no outcome and get their host's verdict; several labels of one page are one outcome (bad if
 any says so); null labels say nothing; without any labels every prior is even and nothing is
@@ -28,6 +34,13 @@ from .common import UPPER, bounded_broadcast, materialise
 
 #: Verdict and rule; a rule is a host and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Public suffixes of two labels.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.bd", "com.br", "com.cn",
+    "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn",
+    "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+)
+_IP = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 #: A host is blocked if its bad rate lies above MAX_BAD with the lower bound of Z standard deviations.
 MAX_BAD, Z = 0.5, 1.645
 #: Bounds of the correlation of outcomes below one parent: prior strength is 1 / rho - 1.
@@ -79,7 +92,11 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     counted = pages.join(bounded_broadcast(outcomes), "page_id", "left")
     hosts = counted.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":\d*$", "")
-    hosts = materialise(hosts.select("host", F.substring_index(name, ".", -1).alias("suffix"), F.substring_index(name, ".", -2).alias("domain"), "n", "bad"))
+    address, two = name.rlike(_IP), F.substring_index(name, ".", -2)
+    long = two.isin(*SUFFIXES)
+    suffix = F.when(address, "ip").when(long, two).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
+    hosts = materialise(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad"))
     total = hosts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("all_mean"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total))  # one row
     suffixes = materialise(_shrink(suffixes, "suffix", "all_mean")).select("suffix", "suffix_mean")
@@ -120,8 +137,10 @@ WITH o AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN
 u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM u LEFT JOIN o USING (page_id) GROUP BY host),
-k AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', ''), '.') AS parts FROM h),
-g AS (SELECT host, n, bad, parts[-1] AS suffix, CASE WHEN len(parts) > 1 THEN parts[-2] || '.' || parts[-1] ELSE parts[-1] END AS domain FROM k),
+kn AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS name FROM h),
+k AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '{_IP}') AS ip, array_to_string(string_split(name, '.')[-2:], '.') IN {SUFFIXES} AS long FROM kn),
+g AS (SELECT host, n, bad, CASE WHEN ip THEN 'ip' WHEN long THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
+             CASE WHEN ip THEN name WHEN long THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM k),
 g0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) AS all_mean FROM g),
 g1 AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(all_mean) AS all_mean FROM g, g0 GROUP BY suffix),{_sql_shrink("s", "g1", "suffix", "suffix", "all_mean")},
 g2 AS (SELECT g.suffix, g.domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, any_value(suffix_mean) AS suffix_mean FROM g JOIN s USING (suffix) GROUP BY g.suffix, g.domain),{_sql_shrink("dm", "g2", "suffix, domain", "domain", "suffix_mean")},
