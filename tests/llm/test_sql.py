@@ -137,6 +137,18 @@ def test_jump_hash_is_the_published_one(spark):
         assert [r[0] for r in df.select(sharding.jump_hash(F.col("k"), n)).collect()] == [jump(k, n) for k in keys]
 
 
+def test_ids_in_steps_and_one_hot_id_fill_many_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, real = [], sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda df: seen.append(df.count()) or real(df))
+    sharding.digest(spark.range(5000).selectExpr("id * 64 AS doc_id", "'x' AS text")).count()
+    sharding.digest(spark.range(5000).selectExpr("7L AS doc_id", "cast(id AS string) AS text")).count()
+    assert seen[0] > 1000 and seen[1] == 64
+    named = sharding.shard_documents(spark.range(500).select(F.concat(F.lit("doc "), "id").alias("doc_id"), F.lit("x").alias("text")))
+    assert named.select("shard").distinct().count() == 24
+
+
 def test_grown_shards_only_gain(spark):
     df = sharding.digest(spark.range(5000).selectExpr("id AS doc_id", "'x' AS text"))
     assert df.where("grown_shard != shard AND grown_shard != 24").count() == 0
@@ -145,11 +157,21 @@ def test_grown_shards_only_gain(spark):
 
 def test_mix_meets_targets(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 's0' ELSE concat('s', id % 11) END AS source", "repeat('word ', cast(1 + id % 90 AS int)) AS text")
-    sums = mixing.digest(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
-    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 0.02 * r["max(target)"] for r in sums)
+    rows = mixing.digest(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    rows["part"] = (rows["target"] / rows["source_size"]) % 1
+    rows["spread"] = rows["size"] ** 2 * rows["part"] * (1 - rows["part"])
+    for _, of in rows.groupby("source"):  # one draw a document: four standard deviations
+        assert abs(of["taken"].sum() - of["target"].iloc[0]) <= 4 * of["spread"].sum() ** 0.5
     assert mixing.digest(docs).where("taken > 3 * size").count() == 0
 
 
+def test_another_document_of_no_words_changes_no_draw(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('word ', cast(1 + id % 90 AS int)) AS text")
+    more = docs.unionByName(spark.createDataFrame([(10**6, "s1", "")], "doc_id long, source string, text string"))
+    rows = lambda df: {tuple(r) for r in mixing.digest(df).where("doc_id < 500").collect()}
+    assert rows(docs) == rows(more)
+
+
 def test_urls(spark, compare):
     urls = [None, "", "no scheme", "http://", "https://A.Example.ORG/es/x?y#z", "http://example.org", "http://example.org/", "http://x.com/fr/1", "http://x.com/de/", "http://xcom/fr/", "ftp://u@h.net:80/a?b", "http://a//b://c"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, None), (None, "http://h.net/")], "page_id long, url string")
