@@ -42,9 +42,6 @@ DIRECT = 0xF00
 CHUNK = 500_000
 #: Rejection: quantile of calibration cross-entropies, and standard errors allowed beyond it.
 QUANTILE, ERRORS = 0.999, 4.0
-#: Nats per character that a document may lie above the calibrated limit: rejection is for texts that no
-#: learned language explains, not for the noisiest documents of one.
-MARGIN = 0.5
 #: Characters' worth of evidence in a score.
 SHARPNESS = 20.0
 
@@ -189,7 +186,7 @@ def _identify(model: KneserNey | None, limits: np.ndarray, texts: list[str | Non
     least = entropy[np.arange(len(texts)), best]
     sharp = np.exp(-(entropy - least[:, None]) * np.minimum(np.maximum(n, 1), SHARPNESS)[:, None])
     score = np.where(letters, 1 / sharp.sum(axis=1), 0.0)
-    limit = limits[best, 0] + MARGIN + ERRORS * limits[best, 1] / np.sqrt(np.maximum(n, 1))
+    limit = limits[best, 0] + ERRORS * limits[best, 1] / np.sqrt(np.maximum(n, 1))
     names = [model.languages[b] if x else "und" for b, x in zip(best, letters)]
     return names, score, np.where(letters, least, 0.0), ~letters | (least > limit)
 
