@@ -9,17 +9,21 @@ probability below 1e-6, one at 0.8 below 1e-4, and a component is lost only with
 2. Documents with equal sets are one class (a group by digest with partial aggregation: a third of
    all rows may be one class).
 3. Band keys meet by aggregation: the least class of a key is its hub, and every other class of the
-   key gets an edge to the hub.  No pairs within a bucket are made.
-4. Components of those candidate edges are the groups within which links can exist.  A group's full
-   shingle sets come together once, in blocks of at most BLOCK_SHINGLES: a larger group is dealt into
-   blocks, and every pair of blocks is a task of bounded size.
-5. Within a task, intersections come from an inverted list.  The set that overlaps most with the rest
-   goes first; after that only sets outside the largest component need a row of intersections, since
-   links within a component change nothing.  Links are confirmed on full sets with integers.
-6. Components of the links give every class its document of least id.
-
-The work in step 5 grows with the number of sets that are not close to their group's hub times the
-group's size; groups of one base text with many variants, exact copies aside, are the worst case.
+   key is a candidate for a link to the hub, unless the sizes of the sets rule it out.  No pairs within
+   a bucket are made.
+4. The sets of classes with candidates are written once.  Links to hubs are verified on full sets, first
+   one hub for each class, then the hubs that are not yet in the class's component.  Components are those
+   of verified links only, so texts that share boilerplate are not chained together.
+5. A key whose classes other than the hub still lie in several components may hide links among them.
+   The sets of such a key come together, in blocks of at most BLOCK_SHINGLES: a larger bucket is dealt
+   into blocks, and every pair of blocks is a task of bounded size.  Within a task, intersections come
+   from an inverted list, and only sets outside the largest component need a row of intersections, since
+   links within a component change nothing.
+6. Documents that share an id link their classes.  Components of all links give every class its document
+   of least id.
+
+The work in step 5 grows with the square of a bucket's blocks; it is needed for buckets whose texts
+collide and yet are no near copies of the bucket's hub.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; a text with fewer
 words than a shingle is one shingle; equal texts under several ids are one class; rows that repeat
@@ -180,7 +184,9 @@ def link_sets(sets: list[np.ndarray], names: list, percent: int) -> list[int]:
 
 def _link_block(table: pa.Table, percent: int) -> pa.Table:
     names = table.column("rep").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    held = table.column("shingles").combine_chunks()
+    flat, ends = held.flatten().to_numpy(), held.offsets.to_numpy()
+    sets = [flat[x - ends[0] : y - ends[0]] for x, y in zip(ends[:-1], ends[1:])]
     a, b = [], []
     for i, root in enumerate(link_sets(sets, names, percent)):
         if names[i] != names[root]:
@@ -190,35 +196,83 @@ def _link_block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
+def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(rep, n, shingles): the shingle sets of the classes (rep, d1, d2), made anew from the text of rep."""
     kind = dict(docs.dtypes)["doc_id"]
-    signed = materialise(signatures(docs, shingle))
-    classes = materialise(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    keys = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
-    hubs = materialise(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("key", "hub"))
-    candidates = keys.join(bounded_broadcast(hubs), "key").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    groups = materialise(connected_components(candidates))
-
-    members = classes.select("rep", "d1", "d2", "n_shingles").join(groups.select(F.col("node").alias("rep"), "root"), "rep")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = materialise(members.join(materialise(blocks), "root").select("root", "rep", "d1", "d2", "blocks", F.pmod("d1", F.col("blocks")).cast("int").alias("block")))
-    held = docs.select("doc_id", "text").join(bounded_broadcast(members), F.col("doc_id") == F.col("rep"))
-
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    members = bounded_broadcast(materialise(members))
+    held = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("rep", "d1", "d2", "text")
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(parts):
             found = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             digests = np.array([set_digest(s) for s in found]).reshape(-1, 2)
             same = (digests[:, 0] == batch.column("d1").to_numpy()) & (digests[:, 1] == batch.column("d2").to_numpy())
-            kept = [batch.column(x) for x in ("root", "rep", "blocks", "block")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in found], pa.binary())], names=["root", "rep", "blocks", "block", "shingles"]).filter(pa.array(same))
-
-    held = held.select("root", "rep", "d1", "d2", "blocks", "block", "text").mapInArrow(sets, f"root {kind}, rep {kind}, blocks int, block int, shingles binary")
-    pairs = held.select("root", "rep", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "shingles")
-    links = pairs.groupBy("root", "i", "j").applyInArrow(lambda t: _link_block(t, percent), f"a {kind}, b {kind}")
-    joined = materialise(connected_components(links))
+            sets = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("rep", "d1", "d2")] + [sets], names=["rep", "d1", "d2", "shingles"]).filter(pa.array(same))
+
+    made = held.mapInArrow(read, f"rep {kind}, d1 long, d2 long, shingles array<long>")
+    return made.groupBy("rep", "d1", "d2").agg(F.first("shingles").alias("shingles")).select("rep", F.size("shingles").alias("n"), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets satisfy 100 * intersection >= percent * union.  b's set goes to a's, so a
+    hub with very many candidates is a skewed join that adaptive execution splits."""
+    one, two = [sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"]
+    met = pairs.join(two, "b").join(one, "a")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return materialise(met.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct())
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends do not lie in one component."""
+    of = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in (a, b)]
+    met = pairs.join(of[0], a, "left").join(of[1], b, "left")
+    return met.where(F.coalesce(f"root_{a}", a) != F.coalesce(f"root_{b}", b)).select(*pairs.columns)
+
+
+def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that repeat an id with other texts."""
+    ids = usable.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low != high").select("doc_id")
+    of = usable.join(bounded_broadcast(materialise(ids)), "doc_id").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return of.where("a != b").distinct()
+
+
+def _hidden(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) among the classes of keys that still hold several components besides the hub.  Keys
+    with the same classes count once."""
+    of = roots.select(F.col("node").alias("rep"), "root")
+    inside = materialise(met.join(of, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
+    open_ = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.struct(F.bit_xor(F.xxhash64("rep")), F.sum(F.shiftright(F.xxhash64("rep"), 32)), F.count(F.lit(1))).alias("same"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    open_ = materialise(open_.where("low != high").groupBy("same").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks"))
+    held = inside.join(bounded_broadcast(open_), "key").select("key", "blocks", "rep", "root").join(sets.select("rep", "shingles"), "rep")
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "root", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks").where("other != block OR blocks = 1")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("root").alias("rep"), "shingles")
+    return dealt.groupBy("key", "i", "j").applyInArrow(lambda t: _link_block(t, percent), f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    signed = materialise(signatures(docs, shingle))
+    usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "value")).select("rep", "n", F.xxhash64("band", "value").alias("key"))
+    hubs = materialise(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("top")).where("hub.rep != top").select("key", "hub"))
+    met = materialise(keys.join(bounded_broadcast(hubs), "key").where("rep != hub.rep").select("key", "hub", "rep", "n"))
+
+    sized = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    candidates = materialise(met.where(sized).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    wanted = met.select(F.explode(F.array("rep", "hub.rep")).alias("rep")).distinct()
+    sets = materialise(_sets(docs, classes.join(wanted, "rep").select("rep", "d1", "d2"), shingle))
+    first = materialise(candidates.groupBy("b").agg(F.min("a").alias("a")))
+    links = _verified(first, sets, percent)
+    roots = materialise(connected_components(links))
+    rest = candidates.join(first.select("b", F.col("a").alias("done")), "b").where("a != done").select("a", "b")
+    links = materialise(links.unionByName(_verified(_apart(rest, roots, "a", "b"), sets, percent)).unionByName(_shared_ids(usable, classes)))
+    roots = materialise(connected_components(links))
+    joined = materialise(connected_components(links.unionByName(_hidden(met, roots, sets, percent, kind))))
 
     named = classes.select("d1", "d2", "rep").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
     named = materialise(named.select("d1", "d2", F.coalesce("root", "rep").alias("component_id")))

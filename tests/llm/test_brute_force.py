@@ -142,6 +142,29 @@ def test_large_groups_in_blocks(spark, monkeypatch, block):
     assert got == plain_components(rows, 3, 85)
 
 
+def test_repeated_ids_link_their_texts(spark):
+    a, b, c = (" ".join(words(40, i)) for i in (1, 2, 3))
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, c), (5, c), (12, " ".join(words(40, 4)))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 3, False), (12, 12, True)}
+
+
+@pytest.mark.parametrize("block", [500_000, 700])
+def test_boilerplate_is_not_chained_and_no_link_is_lost(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    r, core, rows = random.Random(12), words(60, 77), []
+    for i in range(40):  # half of each text is shared
+        rows.append((i, " ".join(core + words(55, 500 + i))))
+    for i in range(12):  # near copies of some of them, linked to each other but hardly to a hub
+        text = rows[i][1].split()
+        for j in range(3):
+            text[r.randrange(60, 115)] = f"y{r.randrange(10**6)}"
+            rows.append((100 + 3 * i + j, " ".join(text)))
+    random.Random(6).shuffle(rows)
+    got = {x.doc_id: x.component_id for x in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows, 3, 85)
+
+
 def test_near_duplicates_of_odd_rows(repeated, repeated_rows, nothing):
     assert minhash.digest(nothing).count() == 0
     got = minhash.digest(repeated).collect()
