@@ -223,11 +223,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(met.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct())
 
 
-def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs whose ends do not lie in one component."""
-    of = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in (a, b)]
-    met = pairs.join(of[0], a, "left").join(of[1], b, "left")
-    return met.where(F.coalesce(f"root_{a}", a) != F.coalesce(f"root_{b}", b)).select(*pairs.columns)
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends do not lie in one component."""
+    of = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    met = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
@@ -251,6 +251,29 @@ def _hidden(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, kin
     return dealt.groupBy("key", "i", "j").applyInArrow(lambda t: _link_block(t, percent), f"a {kind}, b {kind}")
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """From (key, rep, n), n the size of rep's set: (key, hub, rep, n) of all but the least rep of each key
+    that several share; hub is that least (rep, n)."""
+    hubs = materialise(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("top")).where("hub.rep != top").select("key", "hub"))
+    return materialise(keys.join(bounded_broadcast(hubs), "key").where("rep != hub.rep").select("key", "hub", "rep", "n"))
+
+
+def verified_links(met: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), verified on the full sets (rep, n, shingles), whose components are those of all pairs
+    that share a key and satisfy 100 * intersection >= percent * union; ``known`` has further links."""
+    kind = dict(met.dtypes)["rep"]
+    sized = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    candidates = materialise(met.where(sized).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    first = materialise(candidates.groupBy("b").agg(F.min("a").alias("a")))
+    links = _verified(first, sets, percent)
+    roots = materialise(connected_components(links))
+    rest = candidates.join(first.select("b", F.col("a").alias("done")), "b").where("a != done").select("a", "b")
+    links = links.unionByName(_verified(_apart(rest, roots), sets, percent))
+    links = materialise(links.unionByName(known) if known else links)
+    roots = materialise(connected_components(links))
+    return links.unionByName(_hidden(met, roots, sets, percent, kind))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -259,20 +282,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "value")).select("rep", "n", F.xxhash64("band", "value").alias("key"))
-    hubs = materialise(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("top")).where("hub.rep != top").select("key", "hub"))
-    met = materialise(keys.join(bounded_broadcast(hubs), "key").where("rep != hub.rep").select("key", "hub", "rep", "n"))
-
-    sized = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    candidates = materialise(met.where(sized).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    met = shared_keys(keys)
     wanted = met.select(F.explode(F.array("rep", "hub.rep")).alias("rep")).distinct()
     sets = materialise(_sets(docs, classes.join(wanted, "rep").select("rep", "d1", "d2"), shingle))
-    first = materialise(candidates.groupBy("b").agg(F.min("a").alias("a")))
-    links = _verified(first, sets, percent)
-    roots = materialise(connected_components(links))
-    rest = candidates.join(first.select("b", F.col("a").alias("done")), "b").where("a != done").select("a", "b")
-    links = materialise(links.unionByName(_verified(_apart(rest, roots, "a", "b"), sets, percent)).unionByName(_shared_ids(usable, classes)))
-    roots = materialise(connected_components(links))
-    joined = materialise(connected_components(links.unionByName(_hidden(met, roots, sets, percent, kind))))
+    joined = materialise(connected_components(verified_links(met, sets, percent, _shared_ids(usable, classes))))
 
     named = classes.select("d1", "d2", "rep").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
     named = materialise(named.select("d1", "d2", F.coalesce("root", "rep").alias("component_id")))

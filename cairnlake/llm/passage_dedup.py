@@ -1,87 +1,106 @@
 """Substring removal by paragraph MinHash banding.
 
-Repeated passages seldom start or end with a line, so the paragraphs compared here are stretches of
-PARAGRAPH words that start where the text itself says: among WINDOW shingles in a row the one with the
-least hash is picked (the MinHash value of that stretch), and a paragraph starts at every pick.  A
-passage of WINDOW + SHINGLE + PARAGRAPH - 2 = 51 words or more that stands in two documents thus has a
-whole paragraph in common.  Each of BANDS hash functions picks its own paragraphs; the pick is the
-band's key.  A paragraph pair of Jaccard similarity s meets in a band with probability about s, and a
-passage has a paragraph about every dozen words in each band.  Equal passages always meet; of near-equal
-ones the shortest are lost most often: with one word in 51 replaced 8 of 100, in 55 4, in 60 2, in 80
-or more none of 400.  A text of fewer than WINDOW + SHINGLE - 1 words has no whole stretch; in it the
-least hash among the starts of its paragraphs is picked.
-
-1. One pass in Arrow batches finds all picks; keys found in one row only are dropped by a count with
-   partial aggregation.
-2. The documents that hold other keys are read again; their paragraphs with such keys go on: key,
-   document, place, digest of the words, shingles.
-3. Paragraphs with equal words are one kind.  Kinds with a key in common are linked if the Jaccard
-   similarity of their shingle sets is PERCENT or more; prefix filtering (two such sets share one of
-   their rarest shingles) finds the pairs to verify without making all pairs.  Keys with more kinds
-   than fit a task are dealt into blocks, and every two blocks meet.
-4. Components of the links are the clusters; a cluster in two documents or more is a repeat.  Its
-   place with the least (id, place) stays, the other documents' places are removed.
-
-Defined cases: null and wordless texts and texts below PARAGRAPH words have no paragraphs; rows with
-a null id are not looked at; rows that repeat an id count as one document; repeats within one
-document alone do not count; an empty table gives no rows; very long texts are read alone and whole.
+Paragraphs are of two kinds:
+
+* every line (between newlines) of LEAST words or more, and every text of LEAST words or more that is too
+  short for a stretch.  BANDS permutations of its shingle hashes give a minimum and a maximum each; the two
+  are a band of two rows.  A pair of Jaccard similarity s meets with probability 1 - (1 - s ** 2) ** BANDS:
+  0.994 at 0.8, 0.9998 at 0.9, and 0.76 at 0.5, where verification drops it;
+* stretches of STRETCH words inside lines and across them, since repeated passages seldom start or end
+  with a line.  Among WINDOW shingles in a row the one with the least hash is picked (the MinHash value of
+  that stretch), and a stretch starts at every pick; each of PICKS hash functions picks its own, as bands of
+  one row.  A passage of WINDOW + SHINGLE + STRETCH - 2 = 51 words or more that stands in two documents has a
+  whole stretch in common, wherever it stands; of shorter ones, and of near-equal ones, a part is missed
+  (README has the measured shares), unless they are lines of their own.
+
+1. One pass in Arrow batches finds the keys of all paragraphs, and a digest of each text.
+2. Equal texts repeat as a whole; one of each group takes part in the rest.  Keys found in one text only
+   are dropped by an aggregation with partial minima and maxima.
+3. The texts that hold other keys are read again; their paragraphs with such keys go on: key, text, place,
+   digest of the words, shingles.
+4. Paragraphs with equal words are one kind.  Kinds with a key in common are linked where the Jaccard
+   similarity of their shingle sets, compared in full, is PERCENT or more: first with the key's least kind,
+   then, in keys whose kinds are not one component by that, among each other in blocks of bounded size.
+5. Components of the links are the clusters; a cluster in two documents or more is a repeat.  The document
+   of least id keeps it, the other documents' places are removed.
+
+Defined cases: null and wordless texts and texts below LEAST words have no paragraphs; rows with a null id
+are not looked at; rows that repeat an id and text are one document, rows that repeat an id with another
+text are further texts of it, and repeats within one document alone do not count; an empty table gives no
+rows; very long texts are read alone and whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, slices, small_batches
+from .common import bounded_broadcast, materialise, slices, small_batches, text_keys
 from .components import connected_components
-from .minhash import hash_word, mix, shingles
+from .minhash import hash_word, mix, shared_keys, shingles, verified_links
 
 SHINGLE, PERCENT = 5, 80
-WINDOW, PARAGRAPH, BANDS = 24, 24, 2
-#: Kinds of paragraphs with one key that a task holds at most from each of two blocks.
-BLOCK_KINDS = 5_000
-#: Keys found twice up to which they are broadcast; they grow with the corpus, so the bound is small.
-KEY_ROWS = 50_000
+#: Words of a line, or of a short text, that make it a paragraph, and its bands.
+LEAST, BANDS = 20, 5
+#: Shingles among which a stretch's start is picked, words of a stretch, hash functions that pick.
+WINDOW, STRETCH, PICKS = 24, 24, 2
 #: Windows whose minima are worked out at once; places within them take 24 bits.
 SEGMENT = 4_000_000
 
+_SPAN = WINDOW + SHINGLE - 1
 _TEXT = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
-_SEEDS = np.random.default_rng(20240302).integers(0, 2**63, BANDS, np.uint64)
-
-
-def read_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, the text of each word, and the hashes of all runs of SHINGLE
-    words (runs across texts included; callers leave those out)."""
-    words = [(t or "").encode().lower().split() for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter(map(hash_word, chain.from_iterable(words)), np.uint64, int(n.sum()))
-    return h, np.repeat(np.arange(len(texts)), n), shingles(h, SHINGLE)
-
-
-def picks(of: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each band the keys and places of all paragraphs, from the text of each word and the shingle
-    hashes.  The sliding minimum is built by doubling; of equal hashes the first is picked."""
-    span = WINDOW + SHINGLE - 1
-    n = np.bincount(of)
-    low = np.flatnonzero((n >= PARAGRAPH) & (n < span))
-    starts = (np.cumsum(n) - n)[low, None] + np.arange(span - PARAGRAPH)
-    beyond = np.arange(span - PARAGRAPH) > n[low, None] - PARAGRAPH
-    for seed in _SEEDS:
-        parts = [np.zeros(0, np.int64)]
-        if len(low):
-            value = np.where(beyond, ~np.uint64(0), mix(g[np.where(beyond, 0, starts)] ^ seed))
-            parts.append(starts[np.arange(len(low)), value.argmin(axis=1)])
-        for start in range(0, max(0, len(of) - span + 1), SEGMENT):
-            value = mix(g[start : start + SEGMENT + WINDOW - 1] ^ seed)
+_SEEDS = np.random.default_rng(20240302).integers(0, 2**63, PICKS, np.uint64)
+_ODD = np.random.default_rng(20240303).integers(0, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Texts:
+    """Word hashes ``h`` of several texts in a row, the text ``of`` each word, the hashes ``g`` of all runs of
+    SHINGLE words (runs across texts included; callers leave those out), and the starts and ends of lines."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        hashes, ends, n = [], [], []
+        for text in texts:
+            before = len(hashes)
+            for line in (text or "").encode().lower().split(b"\n"):
+                hashes += map(hash_word, line.split())
+                ends.append(len(hashes))
+            n.append(len(hashes) - before)
+        self.n = np.array(n, np.int64)
+        self.h = np.array(hashes, np.uint64)
+        self.of = np.repeat(np.arange(len(texts)), self.n)
+        self.first = np.cumsum(self.n) - self.n
+        self.g = shingles(self.h, SHINGLE)
+        ends_ = np.unique(np.array(ends, np.int64))
+        starts = np.concatenate([[0], ends_[:-1]]).astype(np.int64)
+        short = (self.n >= LEAST) & (self.n < _SPAN)  # a short text is a paragraph as a whole
+        long = ends_ - starts >= LEAST
+        both = np.column_stack([np.concatenate([starts[long], self.first[short]]), np.concatenate([ends_[long], (self.first + self.n)[short]])])
+        self.lines = np.unique(both, axis=0)
+
+    def paragraphs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys, starts and ends of all paragraphs, a band at a time."""
+        if len(self.lines):
+            edges = np.column_stack([self.lines[:, 0], self.lines[:, 1] - SHINGLE + 1]).ravel()
+            for band, odd in enumerate(_ODD):
+                value = np.append(self.g * odd, np.uint64(0))
+                low, high = np.minimum.reduceat(value, edges)[::2], np.maximum.reduceat(value, edges)[::2]
+                yield mix(mix(low) * _TEXT + mix(high) + np.uint64(band)), self.lines[:, 0], self.lines[:, 1]
+        for seed in _SEEDS:
+            key, at = self._picks(seed)
+            yield key, at, at + STRETCH
+
+    def _picks(self, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The sliding minimum is built by doubling; of equal hashes the first is picked."""
+        of, parts = self.of, [np.zeros(0, np.int64)]
+        for start in range(0, max(0, len(of) - _SPAN + 1), SEGMENT):
+            value = mix(self.g[start : start + SEGMENT + WINDOW - 1] ^ seed)
             least = (value & ~_LOW) | np.arange(len(value), dtype=np.uint64)
             width = 1
             while 2 * width <= WINDOW:
@@ -89,132 +108,124 @@ def picks(of: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
                 width *= 2
             if width < WINDOW:
                 least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
-            whole = of[start : start + len(least)] == of[start + span - 1 : start + span - 1 + len(least)]
+            whole = of[start : start + len(least)] == of[start + _SPAN - 1 : start + _SPAN - 1 + len(least)]
             parts.append((least[whole] & _LOW).astype(np.int64) + start)
         at = np.unique(np.concatenate(parts))
-        at = at[at + PARAGRAPH <= len(of)]
-        at = at[of[at] == of[at + PARAGRAPH - 1]]
-        yield mix(g[at] ^ seed), at
-
-
-def link_kinds(sets: list[frozenset], percent: int) -> list[int]:
-    """Component (index of a member) of each set, linked by 100 * intersection >= percent * union."""
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    often = Counter(g for s in sets for g in s)
-    index: dict[int, list[int]] = defaultdict(list)
-    for x, s in enumerate(sets):
-        prefix = sorted(s, key=lambda g: (often[g], g))[: len(s) - -(-percent * len(s) // 100) + 1]
-        for g in prefix:
-            for y in index[g]:
-                if find(x) != find(y):
-                    shared = len(s & sets[y])
-                    if 100 * shared >= percent * (len(s) + len(sets[y]) - shared):
-                        parent[find(x)] = find(y)
-            if often[g] > 1:
-                index[g].append(x)
-    return [find(x) for x in range(len(sets))]
-
-
-def _link_block(table: pa.Table) -> pa.Table:
-    kinds = table.column("kind").to_pylist()
-    sets = [frozenset(np.frombuffer(x, np.uint32).tolist()) for x in table.column("shingles").to_pylist()]
-    edges = [(kinds[i], kinds[r]) for i, r in enumerate(link_kinds(sets, PERCENT)) if i != r]
-    return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
-
-
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, cluster, first_doc_id, removed): the paragraphs that several documents hold."""
+        at = at[at + STRETCH <= len(of)]
+        at = at[of[at] == of[at + STRETCH - 1]]
+        return mix(self.g[at] ^ seed), at
+
+
+def _arrays(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """One list for each of n rows, of the values with that row number (ascending)."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_words): the distinct texts, by their digest, of the documents; and (k1, k2, rep,
+    place, end, cluster, first_doc_id): the paragraphs that several documents hold, in the distinct texts,
+    each with its document of least id and the least id of the cluster."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", *text_keys(F.col("text")), "text")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, of, g = read_texts(batch.column("text").to_pylist())
-            found = [np.unique(np.column_stack([of[at], k.view(np.int64)]), axis=0) for k, at in picks(of, g)]
-            rows = np.concatenate(found)
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows[:, 0])), pa.array(rows[:, 1])], names=["doc_id", "key"])
-
-    found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, key long"))
-    shared = materialise(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    again = found.join(bounded_broadcast(shared, KEY_ROWS), "key").groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("keys"))
-    held = texts.join(bounded_broadcast(materialise(again)), F.col("doc_id") == F.col("of")).select("doc_id", "text", "keys")
+            read = Texts(batch.column("text").to_pylist())
+            found = [np.column_stack([read.of[at], key.view(np.int64)]) for key, at, _ in read.paragraphs() if len(at)]
+            rows = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            held = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(read.n), _arrays(rows[:, 0], rows[:, 1], len(read.n))], names=["doc_id", "k1", "k2", "n_words", "keys"])
+
+    found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<long>"))
+    each = found.select("k1", "k2", F.explode("keys").alias("key"))
+    shared = materialise(each.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b").select("key"))
+    again = each.join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.collect_set("key").alias("keys"))
+    reps = found.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.min("doc_id").alias("rep"))
+    again = materialise(again.join(reps, ["a1", "a2"]))
+    held = texts.join(bounded_broadcast(again), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("rep", "k1", "k2", "text", "keys")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, of, g = read_texts(batch.column("text").to_pylist())
-            wanted = batch.column("keys").to_pylist()
-            ask = np.fromiter(chain.from_iterable(wanted), np.int64).view(np.uint64) + np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]).astype(np.uint64) * _TEXT
-            first = np.searchsorted(of, np.arange(len(wanted)))
-            row, key, place = [], [], []
-            for k, at in picks(of, g):
-                hit = np.isin(k + of[at].astype(np.uint64) * _TEXT, ask)
-                row.append(of[at[hit]])
-                key.append(k[hit].view(np.int64))
-                place.append(at[hit])
-            rows, places = np.concatenate(row), np.concatenate(place)
+            read = Texts(batch.column("text").to_pylist())
+            wanted = batch.column("keys")
+            ask = wanted.flatten().to_numpy().view(np.uint64) + np.repeat(np.arange(len(wanted), dtype=np.uint64), np.diff(wanted.offsets.to_numpy())) * _TEXT
+            parts = []
+            for key, start, end in read.paragraphs():
+                hit = np.isin(key + read.of[start].astype(np.uint64) * _TEXT, ask)
+                parts.append(np.column_stack([read.of[start[hit]], key[hit].view(np.int64), start[hit], end[hit]]))
+            rows = np.concatenate(parts)
             if len(rows):
-                kinds = [hashlib.blake2b(words[p : p + PARAGRAPH].tobytes(), digest_size=12).digest() for p in places.tolist()]
-                low = g.astype(np.uint32)
-                sets = [low[p : p + PARAGRAPH - SHINGLE + 1].tobytes() for p in places.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate(key)), pa.array((places - first[rows]).astype(np.int32)), pa.array(kinds, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "key", "place", "kind", "shingles"])
-
-    places = materialise(held.mapInArrow(cut, f"doc_id {kind}, key long, place int, kind binary, shingles binary"))
-    kinds = materialise(places.groupBy("key", "kind").agg(F.first("shingles").alias("shingles")))
-    groups = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_KINDS).cast("int").alias("blocks")))
-    dealt = kinds.join(bounded_broadcast(groups), "key").select("key", "kind", "shingles", "blocks", F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int").alias("block"))
-    pairs = dealt.select("key", "kind", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "kind", "shingles")
-    links = pairs.groupBy("key", "i", "j").applyInArrow(_link_block, "a binary, b binary")
-    roots = materialise(connected_components(links).select(F.col("node").alias("kind"), "root"))
-    seen = places.select("doc_id", "place", "kind").distinct().join(roots, "kind", "left").select("doc_id", "place", F.coalesce("root", "kind").alias("cluster"))
-    seen = materialise(seen)
-    clusters = seen.groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
-    met = seen.join(materialise(clusters), "cluster")
-    return met.select("doc_id", "place", "cluster", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
-
-
-def _runs(places: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs of words under paragraphs at these places."""
+                low, spans = read.g.astype(np.uint32).view(np.int32), rows[:, 2:].tolist()
+                kinds = [hashlib.blake2b(read.h[a:b].tobytes(), digest_size=12).digest() for a, b in spans]
+                sets = [np.unique(low[a : b - SHINGLE + 1]) for a, b in spans]
+                text = pa.array(rows[:, 0])
+                of = [batch.column(c).take(text) for c in ("rep", "k1", "k2")]
+                place = rows[:, 2:] - read.first[rows[:, 0], None]
+                columns = [*of, pa.array(rows[:, 1]), pa.array(place[:, 0].astype(np.int32)), pa.array(place[:, 1].astype(np.int32)), pa.array(kinds, pa.binary()), pa.array(sets, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "k1", "k2", "key", "place", "end", "kind", "shingles"])
+
+    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, key long, place int, end int, kind binary, shingles array<int>"))
+    sets = materialise(places.groupBy(F.col("kind").alias("rep")).agg(F.first("shingles").alias("shingles")).select("rep", F.size("shingles").alias("n"), "shingles"))
+    met = shared_keys(places.select("key", F.col("kind").alias("rep"), F.size("shingles").alias("n")).distinct())
+    roots = materialise(connected_components(verified_links(met, sets, PERCENT)).select(F.col("node").alias("kind"), "root"))
+    seen = places.select("rep", "k1", "k2", "place", "end", "kind").distinct().join(roots, "kind", "left")
+    seen = materialise(seen.select("rep", "k1", "k2", "place", "end", F.coalesce("root", "kind").alias("cluster")))
+    clusters = seen.groupBy("cluster").agg(F.min("rep").alias("first_doc_id"), F.max("rep").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
+    return found.select("doc_id", "k1", "k2", "n_words").distinct(), seen.join(materialise(clusters), "cluster")
+
+
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of words under paragraphs with these starts and ends."""
     out: list[tuple[int, int]] = []
-    for p in sorted(places):
-        if out and p <= out[-1][1]:
-            out[-1] = (out[-1][0], p + PARAGRAPH)
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((p, p + PARAGRAPH))
+            out.append((a, b))
     return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per document with repeated passages: doc_id, passages (maximal runs of words, start
-    and end), removed (those parts that go), first_doc_ids (documents that keep them)."""
-    kind = dict(docs.dtypes)["doc_id"]
-    found = repeated_paragraphs(docs)
-    per = found.groupBy("doc_id").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("removed"), F.col("place"))).alias("gone"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    """One row per document and text with repeated passages: doc_id, k1 and k2 (digest of the text), passages
+    (maximal runs of words, start and end), removed (those parts that go), first_doc_ids (documents that
+    keep them).  Of equal texts of LEAST words the one of least id stays, but for what others keep of it."""
+    of, paragraphs = repeated_paragraphs(docs)
+    of = materialise(of)
+    span = F.struct(F.col("place").alias("start"), "end")
+    gone = F.collect_set(F.when(F.col("rep") != F.col("first_doc_id"), span))
+    per = materialise(paragraphs.groupBy("k1", "k2").agg(F.collect_set(span).alias("places"), gone.alias("gone"), F.collect_set("first_doc_id").alias("firsts")))
+    copies = materialise(of.where(F.col("n_words") >= LEAST).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep != last").select("k1", "k2", "rep"))
+    met = of.join(bounded_broadcast(copies), ["k1", "k2"], "left").join(bounded_broadcast(per), ["k1", "k2"], "left").where("rep IS NOT NULL OR places IS NOT NULL")
+    every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    places = F.when(F.col("rep").isNotNull(), every).otherwise(F.col("places"))
+    removed = F.when(F.col("rep") != F.col("doc_id"), every).otherwise(F.coalesce("gone", none))
+    firsts = F.coalesce("firsts", F.slice(F.array("doc_id"), 1, 0))
+    firsts = F.array_sort(F.array_distinct(F.when(F.col("rep").isNotNull(), F.concat(firsts, F.array("rep"))).otherwise(firsts)))
+    met = met.select("doc_id", "k1", "k2", places.alias("places"), removed.alias("gone"), firsts.alias("first_doc_ids"))
     run = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [pa.array([[{"start": a, "end": b} for a, b in _runs(p)] for p in batch.column(c).to_pylist()], run) for c in ("places", "gone")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, batch.column("first_doc_ids")], names=["doc_id", "passages", "removed", "first_doc_ids"])
+            cols = []
+            for c in ("places", "gone"):
+                rows = batch.column(c).to_pylist()
+                cols.append(pa.array([[{"start": a, "end": b} for a, b in _runs([(x["start"], x["end"]) for x in row])] for row in rows], run))
+            held = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*held, *cols, batch.column("first_doc_ids")], names=["doc_id", "k1", "k2", "passages", "removed", "first_doc_ids"])
 
-    runs = "array<struct<start:int,end:int>>"
-    return per.mapInArrow(join, f"doc_id {kind}, passages {runs}, removed {runs}, first_doc_ids array<{kind}>")
+    runs, kind = "array<struct<start:int,end:int>>", dict(docs.dtypes)["doc_id"]
+    return met.mapInArrow(join, f"doc_id {kind}, k1 long, k2 long, passages {runs}, removed {runs}, first_doc_ids array<{kind}>")
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut from all but the first that holds them; other columns
     unchanged.  A cut takes its words and the blanks after them."""
-    found = materialise(repeated_passages(docs.select("doc_id", "text")).where(F.size("removed") > 0).select(F.col("doc_id").alias("of"), "removed"))
-    met = docs.select(F.struct("*").alias("row"), "doc_id", "text").join(bounded_broadcast(found), F.col("doc_id") == F.col("of"), "left").select("row", "text", "removed")
+    found = materialise(repeated_passages(docs.select("doc_id", "text")).where(F.size("removed") > 0).select(F.col("doc_id").alias("of"), "k1", "k2", "removed"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of"), F.col("text"), *text_keys(F.col("text")))
+    met = keyed.join(bounded_broadcast(found), ["of", "k1", "k2"], "left").select("row", "text", "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, slices, small_batches
+from .common import bounded_broadcast, materialise, slices, small_batches, text_keys
 
 LENGTH, GRAM = 200, 32
 PIECE = 1_000_000
@@ -212,12 +212,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(start), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["h", "c1", "c2", "start", "f1", "f2"])
 
 
-def text_keys(text: Column) -> list[Column]:
-    """The MD5 of a text in two numbers."""
-    digest = F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
-    return [F.conv(F.substring(digest, 1 + 16 * j, 16), 16, -10).cast("long").alias(f"k{j + 1}") for j in range(2)]
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, whole, spans): for each text, by its MD5, whether it repeats as a whole, and spans
     (neither merged nor sorted) of bytes under windows that repeat."""
