@@ -1,7 +1,7 @@
 """The object tree: closures, paths, roll-ups (O-106, O-138 to O-145, O-41, O-144).
 
-Each step climbs or descends one level by a join on ids, so the work is a join per level and no row
-limit of recursive SQL applies.  A depth bound and the bound of distinct (node, ancestor) pairs guard
+Each step climbs or descends one level by a join on ids and writes that level to the shared folder, so the
+work is a join per level, however deep the tree is, and no row limit of recursive SQL applies.  A depth bound and the bound of distinct (node, ancestor) pairs guard
 against cycles: with a cycle, climbing stops at ``depth`` levels if one is given, and else raises
 when rows are left past DEPTH levels.
 """
@@ -9,10 +9,13 @@ when rows are left past DEPTH levels.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 DEPTH = 64
 
 
@@ -26,12 +29,12 @@ def _rounds(depth: int | None) -> Iterator[int]:
 def climb(tree: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, ancestor, level) of the given nodes (column ``node``), themselves at level 0; the walk ends
     at a parent without a row."""
-    links = tree.select(F.col("id").alias("ancestor"), F.abs("pid").alias("up"))
-    at = start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level"))
+    known = tree.select(F.col("id").alias("up"))
+    links = materialise(tree.select(F.col("id").alias("ancestor"), F.abs("pid").alias("up")).join(known, "up", "left_semi"))
+    at = materialise(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level")))
     out = at
     for _ in _rounds(depth):
-        at = at.join(links, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("level") + 1).alias("level"))
-        at = at.join(links.select("ancestor"), "ancestor", "left_semi").select("node", "ancestor", "level")
+        at = materialise(at.join(links, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("level") + 1).alias("level")))
         if at.isEmpty():
             break
         out = out.unionByName(at)
@@ -40,11 +43,11 @@ def climb(tree: DataFrame, start: DataFrame, depth: int | None = None) -> DataFr
 
 def descend(tree: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, level) of everything below the roots (column ``root``), themselves at level 0."""
-    links = tree.select(F.abs("pid").alias("parent"), F.col("id").alias("child"))
+    links = materialise(tree.select(F.abs("pid").alias("parent"), F.col("id").alias("child")))
     at = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level"))
     out = at
     for _ in _rounds(depth):
-        at = at.join(links, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("level") + 1).alias("level"))
+        at = materialise(at.join(links, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("level") + 1).alias("level")))
         if at.isEmpty():
             break
         out = out.unionByName(at)
@@ -54,29 +57,32 @@ def descend(tree: DataFrame, roots: DataFrame, depth: int | None = None) -> Data
 def roll_up(tree: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, total, newest_did): bytes and largest block id in and below every node.  Each round sends the
     sums of a level's children to their parents, so a row is sent once per level above it."""
+    tree = materialise(tree.select("id", F.abs("pid").alias("pid"), "s", "did"))
+    links = materialise(tree.select("id", "pid").join(tree.select(F.col("id").alias("pid")), "pid", "left_semi"))
     at = tree.select("id", "s", "did")
     out = at
     for _ in _rounds(depth):
-        at = at.join(tree.select("id", "pid"), "id").groupBy(F.abs("pid").alias("id")).agg(F.sum("s").alias("s"), F.max("did").alias("did"))
-        at = at.join(tree.select("id"), "id", "left_semi")
+        at = materialise(at.join(links, "id").groupBy(F.col("pid").alias("id")).agg(F.sum("s").alias("s"), F.max("did").alias("did")))
         if at.isEmpty():
             break
         out = out.unionByName(at)
     return out.groupBy("id").agg(F.sum("s").cast("long").alias("total"), F.max("did").alias("newest_did"))
 
 
-def paths(tree: DataFrame, depth: int | None = None) -> DataFrame:
-    """(id, path): names from the root down, joined by slashes."""
-    names = tree.select(F.col("id").alias("child"), F.abs("pid").alias("parent"), F.col("n").alias("name"))
-    top = names.join(tree.select(F.col("id").alias("parent")), "parent", "left_anti")
-    at = top.select(F.col("child").alias("id"), F.col("name").alias("path"))
-    out = at
+def paths(tree: DataFrame, depth: int | None = None, below: str | None = None) -> DataFrame:
+    """(id, path): names from the root down, joined by slashes; with ``below``, only of nodes under the top
+    node of that name, which no other top node's children are joined for."""
+    names = materialise(tree.select(F.col("id").alias("child"), F.abs("pid").alias("parent"), F.col("n").alias("name")))
+    top = names.join(names.select(F.col("child").alias("parent")), "parent", "left_anti")
+    top = top if below is None else top.where(F.col("name") == below)
+    at = materialise(top.select(F.col("child").alias("id"), F.col("name").alias("path")))
+    out = [at] if below is None else []
     for _ in _rounds(depth):
-        at = at.join(names, F.col("id") == F.col("parent")).select(F.col("child").alias("id"), F.concat_ws("/", "path", "name").alias("path"))
+        at = materialise(at.join(names, F.col("id") == F.col("parent")).select(F.col("child").alias("id"), F.concat_ws("/", "path", "name").alias("path")))
         if at.isEmpty():
             break
-        out = out.unionByName(at)
-    return out
+        out.append(at)
+    return reduce(DataFrame.unionByName, out or [at])
 
 
 def id_paths(tree: DataFrame, start: DataFrame) -> DataFrame:

@@ -10,32 +10,17 @@ _PATHS = "paths(id, path) AS (SELECT id, n FROM tree WHERE pid = 0 UNION ALL SEL
 _DOWN = "down(root, node, level) AS (SELECT id, id, 0 FROM tree WHERE id IN (103, 10007) UNION ALL SELECT d.root, t.id, d.level + 1 FROM down d JOIN tree t ON t.pid = d.node)"
 
 
-def _small(s):
-    """The upper levels, as the SQL of ``o139_id_to_path`` asks; ``o139_id_to_path_whole`` takes every node."""
-    return s.tree.where("id < 10000000000")
-
-
 @query("o106_roll_up", "tree", recursive=True, sql=f"{_UP} SELECT ancestor AS id, sum(s)::BIGINT AS total, max(did)::BIGINT AS newest_did FROM up JOIN tree ON node = id GROUP BY ancestor")
 def _(s):
     return hierarchy.roll_up(s.tree)
 
 
-@query("o138_path_to_id", "tree", recursive=True, sql=f"{_PATHS} SELECT id, path FROM paths WHERE path LIKE 'ASIA/%' AND len(string_split(path, '/')) = 3")
-def _(s):
-    return hierarchy.paths(s.tree).where("path LIKE 'ASIA/%'").where(F.size(F.split("path", "/")) == 3)
-
-
-@query("o138_path_to_id_whole", "tree", recursive=True, sql=f"{_PATHS} SELECT id, path FROM paths")
+@query("o138_path_to_id", "tree", recursive=True, sql=f"{_PATHS} SELECT id, path FROM paths")
 def _(s):
     return hierarchy.paths(s.tree)
 
 
-@query("o139_id_to_path", "tree", recursive=True, sql=f"{_UP} SELECT node, string_agg(t.n, '/' ORDER BY level DESC) AS path FROM up JOIN tree t ON t.id = ancestor WHERE node < 10000000000 GROUP BY node")
-def _(s):
-    return hierarchy.id_paths(s.tree, _small(s).select(F.col("id").alias("node")))
-
-
-@query("o139_id_to_path_whole", "tree", recursive=True, sql=f"{_PATHS} SELECT id AS node, path FROM paths")
+@query("o139_id_to_path", "tree", recursive=True, sql=f"{_PATHS} SELECT id AS node, path FROM paths")
 def _(s):
     return hierarchy.id_paths(s.tree, s.tree.select(F.col("id").alias("node")))
 
@@ -43,7 +28,7 @@ def _(s):
 @query("o140_recursive_listing", "tree", recursive=True, sql=f"{_PATHS} SELECT DISTINCT CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' ELSE path END AS key, len(string_split(path, '/')) > 2 AS prefix FROM paths WHERE path LIKE 'EUROPE/%'")
 def _(s):
     deep = F.size(F.split("path", "/")) > 2
-    rows = hierarchy.paths(s.tree).where("path LIKE 'EUROPE/%'")
+    rows = hierarchy.paths(s.tree, below="EUROPE")
     return rows.select(F.when(deep, F.concat(F.substring_index("path", "/", 2), F.lit("/"))).otherwise(F.col("path")).alias("key"), deep.alias("prefix")).distinct()
 
 
@@ -60,13 +45,7 @@ def _(s):
     return made.join(s.obj.where("t = 1").select(F.col("n").alias("dir")), "dir", "left_anti")
 
 
-@query("o143_pending_path", "tree", recursive=True, sql=f"{_PATHS} SELECT 90000000000 + id AS id, path || '/new' AS path FROM paths WHERE id BETWEEN 10000 AND 10000000000")
-def _(s):
-    rows = hierarchy.paths(s.tree).where("id BETWEEN 10000 AND 10000000000")
-    return rows.select((F.col("id") + 90000000000).alias("id"), F.concat("path", F.lit("/new")).alias("path"))
-
-
-@query("o143_pending_path_whole", "tree", recursive=True, sql=f"{_PATHS} SELECT 90000000000 + id AS id, path || '/new' AS path FROM paths")
+@query("o143_pending_path", "tree", recursive=True, sql=f"{_PATHS} SELECT 90000000000 + id AS id, path || '/new' AS path FROM paths")
 def _(s):
     return hierarchy.paths(s.tree).select((F.col("id") + 90000000000).alias("id"), F.concat("path", F.lit("/new")).alias("path"))
 
@@ -87,9 +66,16 @@ def _(s):
     return s.version.where("t IN (3, 4)").select("id", F.when(F.col("pid") % 10 == 3, F.col("pid") + 1).otherwise(F.col("pid")).alias("pid"), "t")
 
 
-@query("o218_move_cycle_guard", "tree", recursive=True, sql=f"""{_UP}, moves AS (SELECT id, id + 9900 AS pid FROM tree WHERE id BETWEEN 100 AND 130 UNION ALL SELECT id, 10001 FROM tree WHERE id BETWEEN 100 AND 130)
-  SELECT m.id, m.pid, EXISTS (SELECT 1 FROM up WHERE up.node = m.pid AND up.ancestor = m.id) AS cycle FROM moves m""")
+#: Every node moved below one customer, every customer below one of its orders, and every order below its region.
+_MOVES = """moves AS (SELECT id, 10001 AS pid FROM tree UNION ALL SELECT pid, id FROM tree WHERE id BETWEEN 10000000000 AND 19999999999
+  UNION ALL SELECT o.id, n.pid FROM tree o JOIN tree c ON o.pid = c.id JOIN tree n ON c.pid = n.id WHERE o.id BETWEEN 10000000000 AND 19999999999)"""
+
+
+@query("o218_move_cycle_guard", "tree", recursive=True, sql=f"""{_UP}, {_MOVES}
+  SELECT m.id, m.pid, u.node IS NOT NULL AS cycle FROM moves m LEFT JOIN up u ON u.node = m.pid AND u.ancestor = m.id""")
 def _(s):
-    rows = s.tree.where("id BETWEEN 100 AND 130")
-    moves = rows.select("id", (F.col("id") + 9900).alias("pid")).unionByName(rows.select("id", F.lit(10001).cast("long").alias("pid")))
+    orders = s.tree.where("id BETWEEN 10000000000 AND 19999999999")
+    up = s.tree.select(F.col("id").alias("pid"), F.col("pid").alias("next"))
+    region = orders.select("id", "pid").join(up, "pid").select("id", F.col("next").alias("pid")).join(up, "pid").select("id", F.col("next").alias("pid"))
+    moves = s.tree.select("id", F.lit(10001).cast("long").alias("pid")).unionByName(orders.select(F.col("pid").alias("id"), F.col("id").alias("pid"))).unionByName(region)
     return hierarchy.creates_cycle(s.tree, moves)

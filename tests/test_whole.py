@@ -33,21 +33,21 @@ def plain_paths(parents):
 
 
 def test_id_to_path_of_every_node(spark, parents):
-    got = {r.node: r.path for r in plans.QUERIES["o139_id_to_path_whole"](spark, DATA).collect()}
+    got = {r.node: r.path for r in plans.QUERIES["o139_id_to_path"](spark, DATA).collect()}
     assert got == plain_paths(parents) and max(got) > 20_000_000_000
 
 
 def test_path_to_id_and_pending_path_of_every_node(spark, parents):
     want = plain_paths(parents)
-    assert {r.id: r.path for r in plans.QUERIES["o138_path_to_id_whole"](spark, DATA).collect()} == want
-    assert {r.id: r.path for r in plans.QUERIES["o143_pending_path_whole"](spark, DATA).collect()} == {90000000000 + k: f"{v}/new" for k, v in want.items()}
+    assert {r.id: r.path for r in plans.QUERIES["o138_path_to_id"](spark, DATA).collect()} == want
+    assert {r.id: r.path for r in plans.QUERIES["o143_pending_path"](spark, DATA).collect()} == {90000000000 + k: f"{v}/new" for k, v in want.items()}
 
 
 def test_resolve_batch_of_the_whole_table(spark):
     large = DATA.replace("0.001", "0.01")
     ids = sorted(r.id for r in Store(spark, large).data.select("id").collect())
     batch = [-(p - 1) - 1 if i % 4 == 3 else i for p, i in enumerate(ids)]
-    got = {r.pos: r.id for r in plans.QUERIES["o221_resolve_batch_whole"](spark, large).collect()}
+    got = {r.pos: r.id for r in plans.QUERIES["o221_resolve_batch"](spark, large).collect()}
     assert got == {p: batch[-i - 1] if i < 0 else i for p, i in enumerate(batch)} and len(got) > 400
 
 
