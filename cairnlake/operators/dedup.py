@@ -22,12 +22,15 @@ def probe(data: DataFrame, probes: DataFrame) -> DataFrame:
     valid = probes.where("os != 0 AND h != 0")
     hits = valid.alias("a").join(data.alias("b"), (F.col("a.os") == F.col("b.os")) & (F.col("a.h") == F.col("b.h")) & (header_only | full))
     found = hits.groupBy(F.col("a.pos").alias("pos")).agg(F.max("b.id").alias("hit"))
-    first = F.min("pos").over(Window.partitionBy(*DIGEST))
-    missed = F.when(F.col("pos") == first, 0).otherwise(-first - 1)
-    ref = F.when((F.col("os") == 0) | (F.col("h") == 0), 0).when(F.col("hit").isNotNull(), F.when((F.col("x") == 0) | (F.col("s0") == 0), 1).otherwise(F.col("hit"))).otherwise(missed)
-    # The first place is asked only of probes that miss, so hits do not share a window with them.
     joined = probes.join(found, "pos", "left")
-    return joined.select("pos", ref.cast("long").alias("ref"))
+    size = (F.col("os") == 0) | (F.col("h") == 0)
+    answered = joined.where(size | F.col("hit").isNotNull())
+    ref = F.when(size, 0).otherwise(F.when((F.col("x") == 0) | (F.col("s0") == 0), 1).otherwise(F.col("hit")))
+    # First places are asked by the probes that miss alone, by an aggregation with partial minima.
+    missed = joined.where(~size & F.col("hit").isNull()).select("pos", *DIGEST)
+    first = missed.groupBy(*DIGEST).agg(F.min("pos").alias("first"))
+    behind = missed.join(first, list(DIGEST)).select("pos", F.when(F.col("pos") == F.col("first"), 0).otherwise(-F.col("first") - 1).cast("long").alias("ref"))
+    return answered.select("pos", ref.cast("long").alias("ref")).unionByName(behind)
 
 
 def fast_probe(data: DataFrame, probes: DataFrame, chunk_size: int) -> DataFrame:
@@ -87,8 +90,8 @@ def remap(obj: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def dedup_savings(obj: DataFrame) -> DataFrame:
     """Bytes of live file objects whose block was referenced by an object before, per block."""
-    nth = F.row_number().over(Window.partitionBy("did").orderBy("id"))
-    return obj.where("t = 2 AND pid >= 0 AND did > 0").select("did", "s", nth.alias("nth")).where("nth > 1").groupBy("did").agg(F.sum("s").cast("long").alias("saved"))
+    sums = obj.where("t = 2 AND pid >= 0 AND did > 0").groupBy("did").agg(F.count(F.lit(1)).alias("n"), (F.sum("s") - F.min_by("s", "id")).cast("long").alias("saved"))
+    return sums.where("n > 1").select("did", "saved")
 
 
 def merge_plan(data: DataFrame, has_file: DataFrame) -> DataFrame:

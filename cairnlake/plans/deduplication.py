@@ -38,14 +38,7 @@ def _(s):
     return dedup.fast_probe(s.data, _probes(s), 3000)
 
 
-@query("o221_resolve_batch", "data", sql="""ids AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN id % 4 = 3 THEN -(row_number() OVER (ORDER BY id) - 2) - 1 ELSE id END AS id FROM data WHERE id < 400)
-  SELECT a.pos, CASE WHEN a.id < 0 THEN b.id ELSE a.id END AS id FROM ids a LEFT JOIN ids b ON a.id = -b.pos - 1""")
-def _(s):
-    rows = s.data.where("id < 400").select(F.col("id").alias("pos"), F.when(F.col("id") % 4 == 3, -(F.col("id") - 1) - 1).otherwise(F.col("id")).alias("id"))
-    return dedup.resolve_batch(rows)
-
-
-@query("o221_resolve_batch_whole", "data", sql="""ids AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN id % 4 = 3 THEN -(row_number() OVER (ORDER BY id) - 2) - 1 ELSE id END AS id FROM data)
+@query("o221_resolve_batch", "data", sql="""ids AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN id % 4 = 3 THEN -(row_number() OVER (ORDER BY id) - 2) - 1 ELSE id END AS id FROM data)
   SELECT a.pos, CASE WHEN a.id < 0 THEN b.id ELSE a.id END AS id FROM ids a LEFT JOIN ids b ON a.id = -b.pos - 1""")
 def _(s):
     rows = dedup.numbered(s.data.select("id"), "id")

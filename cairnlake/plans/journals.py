@@ -47,16 +47,16 @@ def _(s):
 
 
 def _reads(s):
-    return s.journal.where("seq % 50 = 0").select(F.col("seq").alias("read_id"), "file_id", F.greatest(F.lit(0), F.col("off") - 700).alias("off"), F.lit(1500).cast("long").alias("len"))
+    return s.journal.select(F.col("seq").alias("read_id"), "file_id", F.greatest(F.lit(0), F.col("off") - 700).alias("off"), F.lit(1500).cast("long").alias("len"))
 
 
-@query("o097_overlay", "journal", sql=f"""{_BYTES}, r AS (SELECT seq AS read_id, file_id, unnest(range(greatest(0, off - 700), greatest(0, off - 700) + 1500)) AS p FROM journal WHERE seq % 50 = 0)
+@query("o097_overlay", "journal", sql=f"""{_BYTES}, r AS (SELECT seq AS read_id, file_id, unnest(range(greatest(0, off - 700), greatest(0, off - 700) + 1500)) AS p FROM journal)
   SELECT read_id, seq, count(*) AS n FROM (SELECT r.read_id, r.p, max(b.seq) AS seq FROM r LEFT JOIN bytes b ON r.file_id = b.file_id AND r.p = b.p GROUP BY ALL) GROUP BY ALL""")
 def _(s):
     return intervals.overlay(_reads(s), s.journal, 512).groupBy("read_id", "seq").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n"))
 
 
-@query("o181_range_read", "journal", sql=f"""{_BYTES}, r AS (SELECT seq AS read_id, file_id, unnest(range(greatest(0, off - 700), greatest(0, off - 700) + 1500)) AS p FROM journal WHERE seq % 50 = 0)
+@query("o181_range_read", "journal", sql=f"""{_BYTES}, r AS (SELECT seq AS read_id, file_id, unnest(range(greatest(0, off - 700), greatest(0, off - 700) + 1500)) AS p FROM journal)
   SELECT r.read_id, count(DISTINCT r.p) FILTER (b.p IS NOT NULL) AS written, count(DISTINCT r.p) AS asked FROM r LEFT JOIN bytes b ON r.file_id = b.file_id AND r.p = b.p GROUP BY r.read_id""")
 def _(s):
     n = F.col("end") - F.col("start")
