@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -41,12 +42,40 @@ def checksums(content: Column) -> list[Column]:
     return [xxh3(F.substring(content, 1, HEADER)).alias("h"), xxh3(content).alias("x"), *words]
 
 
+def _snappy_size(block: bytes) -> int:
+    """The size of the content, which a Snappy block starts with (seven bits a byte, the lowest first)."""
+    size = 0
+    for i, byte in enumerate(block[:5]):
+        size |= (byte & 127) << (7 * i)
+        if byte < 128:
+            break
+    return size
+
+
+def _packer(codec: int, level: int) -> Callable[[bytes], bytes]:
+    return {
+        ZSTD: zstandard.ZstdCompressor(level=level).compress,
+        GZIP: lambda b: gzip.compress(b, level, mtime=0),
+        SNAPPY: lambda b: pa.compress(b, codec="snappy", asbytes=True),
+        BROTLI: lambda b: pa.Codec("brotli", compression_level=level).compress(b, asbytes=True),
+    }[codec]
+
+
+def _unpacker(codec: int) -> Callable[[bytes], bytes]:
+    return {
+        ZSTD: zstandard.ZstdDecompressor().decompress,
+        GZIP: gzip.decompress,
+        SNAPPY: lambda b: pa.decompress(b, _snappy_size(b), codec="snappy", asbytes=True),
+        BROTLI: lambda b: pa.CompressedInputStream(pa.BufferReader(b), "brotli").read(),
+    }[codec]
+
+
 def compress(content: Column, codec: int, level: int = 3) -> Column:
-    """zstd or gzip frames of byte columns."""
+    """zstd, gzip or brotli frames, or Snappy blocks, of byte columns."""
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        pack = zstandard.ZstdCompressor(level=level).compress if codec == ZSTD else lambda b: gzip.compress(b, level, mtime=0)
-        return values.map(lambda b: None if b is None else pack(b))
+        pack = _packer(codec, level)
+        return values.map(lambda b: None if b is None else pack(bytes(b)))
 
     return run(content)
 
@@ -54,8 +83,8 @@ def compress(content: Column, codec: int, level: int = 3) -> Column:
 def decompress(content: Column, codec: int) -> Column:
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        unpack = zstandard.ZstdDecompressor().decompress if codec == ZSTD else gzip.decompress
-        return values.map(lambda b: None if b is None else unpack(b))
+        unpack = _unpacker(codec)
+        return values.map(lambda b: None if b is None else unpack(bytes(b)))
 
     return run(content)
 
@@ -76,6 +105,12 @@ def unprocess(content: Column, kind: Column, codec: int, key: bytes | None = Non
     return F.when(kind.bitwiseAND(codec) != 0, decompress(F.when(kind.bitwiseAND(codec) != 0, body), codec)).otherwise(body)
 
 
+def unprocess_any(content: Column, kind: Column, codecs: Sequence[int], key: bytes | None = None) -> Column:
+    """Decrypt and decompress as the block's kind says, whichever of the codecs it names."""
+    body = F.when(kind.bitwiseAND(AES256) != 0, F.aes_decrypt(content, F.lit(key))).otherwise(content) if key else content
+    return F.coalesce(*[decompress(F.when(kind.bitwiseAND(codec) != 0, body), codec) for codec in codecs], body)
+
+
 def assemble(chunks: DataFrame) -> DataFrame:
     """(data_id, bytes) of blocks from their chunks (data_id, sn, bytes) in order.  A block is one row, as
     large as the block; keep large blocks in chunks."""

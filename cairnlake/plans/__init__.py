@@ -25,4 +25,4 @@ def query(name: str, *views: str, sql: str | None = None, recursive: bool = Fals
 
 def load() -> None:
     """Import all modules of queries."""
-    from . import deduplication, hierarchy, integrity, journals, listing, maintenance, metadata, payload, scalars, scans, snapshots, streams, writes  # noqa: F401
+    from . import deduplication, flushes, hierarchy, integrity, journals, listing, maintenance, metadata, payload, scalars, scans, snapshots, streams, writes  # noqa: F401
