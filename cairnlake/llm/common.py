@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..sources.shared import materialise, release, shared_dir
+
 #: Bytes up to which a measured side of a join is broadcast (a hint is given only after measuring), and
 #: bytes that a row costs besides its values.
 BROADCAST_BYTES, ROW_OVERHEAD = 32 << 20, 40
@@ -36,44 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees, below ``spark.checkpoint.dir``.  Where that setting is
-    missing, a local folder is made and set as such in local mode (tests); a cluster raises, since its
-    executors share no local folder.  The folder is deleted when the application ends."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = context._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            base = known.get()
-        elif re.fullmatch(r"local(\[.*\])?", context.master):
-            base = f"file://{tempfile.mkdtemp(prefix='cairnlake-')}"
-            context.setCheckpointDir(base)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{base}/cairnlake-{uuid.uuid4().hex}"
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
-
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the rows to the shared folder and read them again: the lineage ends there, so the
-    loss of an executor later costs a read and no recomputation."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a materialised table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold TEXTS rows and about BATCH_BYTES at most: whole texts are wide rows, and a
     batch is held by the JVM outside its heap and by the Python worker at once.  The settings stay with
