@@ -45,9 +45,9 @@ def _(s):
     return flush.generate_chunks(touched.join(_sizes(s, merged), "file_id"), _base(s), merged, _C).select("file_id", "sn", _sum())
 
 
-@query("o246_small_file_flush", "journal", "text", sql=f"{_OVER.format(only='')} SELECT file_id, size, md5(unhex(string_agg(x, '' ORDER BY p))) AS sum FROM m WHERE size <= 9000 GROUP BY ALL")
+@query("o246_small_file_flush", "journal", "text", sql=f"{_OVER.format(only='')} SELECT file_id, size, md5(unhex(string_agg(x, '' ORDER BY p))) AS sum FROM m WHERE size <= 9990 GROUP BY ALL")
 def _(s):
-    return flush.rewrite_small_files(_base(s), _writes(s), _C, 9000).select("file_id", F.octet_length("bytes").cast("long").alias("size"), _sum())
+    return flush.rewrite_small_files(_base(s), _writes(s), _C, 9990).select("file_id", F.octet_length("bytes").cast("long").alias("size"), _sum())
 
 
 @query("o031_path_reader", "journal", "text", "path", sql=f"""{_OVER.format(only='')}, r AS (SELECT seq AS read_id, path.path, file_id, unnest(range(greatest(0, off - 100), greatest(0, off - 100) + 300)) AS p FROM journal JOIN path ON path.id = file_id + {FILES} WHERE pid >= 0)
