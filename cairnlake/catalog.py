@@ -69,7 +69,7 @@ class Store:
         docs = self.table("documents")
         toxic = self.table("labels").where("toxic = 1").select("doc_id").distinct().withColumn("gone", F.lit(True))
         first = docs.groupBy(F.md5(F.encode("text", "UTF-8")).alias("sum")).agg(F.min("doc_id").alias("did"))
-        files = docs.withColumn("sum", F.md5(F.encode("text", "UTF-8"))).join(first, "sum").join(F.broadcast(self.dirs), "source").join(toxic, "doc_id", "left")
+        files = docs.withColumn("sum", F.md5(F.encode("text", "UTF-8"))).join(first, "sum").join(self.dirs, "source").join(toxic, "doc_id", "left")
         files = files.select(
             (F.col("doc_id") + FILES).alias("id"), F.when(F.col("gone"), -F.col("dir")).otherwise(F.col("dir")).alias("pid"), "did",
             F.octet_length("text").cast("long").alias("s"), (F.lit(EPOCH) + F.col("doc_id") * 7919 % 1000000).alias("m"), F.lit(2).alias("t"),
@@ -147,7 +147,7 @@ class Store:
     @cached_property
     def path(self) -> DataFrame:
         dirs = self.obj.where("t = 1").select(F.col("id").alias("dir"), F.col("n").alias("dn"))
-        return self.obj.where("t = 2").join(F.broadcast(dirs), F.abs("pid") == F.col("dir")).select("id", "pid", "did", "s", "m", F.concat("dn", F.lit("/"), "n").alias("path"))
+        return self.obj.where("t = 2").join(dirs, F.abs("pid") == F.col("dir")).select("id", "pid", "did", "s", "m", F.concat("dn", F.lit("/"), "n").alias("path"))
 
     @cached_property
     def snapobj(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,26 +73,24 @@ def best_fit(hole: DataFrame, files: DataFrame) -> DataFrame:
     largest single file that fits; in holes of more than twice the average file, a combination in
     order of size if it fills over 80 % or more than the single file.  Returns (id, pi, po)."""
     def fit(key: tuple, holes_of: pd.DataFrame, files_of: pd.DataFrame) -> pd.DataFrame:
-        left = list(files_of.sort_values(["size", "id"])[["id", "size"]].itertuples(index=False, name=None))
-        average = sum(s for _, s in left) // len(left) if left else 0
+        ordered = files_of.sort_values(["size", "id"])
+        ids, sizes = ordered["id"].tolist(), ordered["size"].tolist()
+        average = sum(sizes) // len(sizes) if sizes else 0
         out = []
         for pi, start, room in holes_of.sort_values(["pi", "start"])[["pi", "start", "size"]].itertuples(index=False, name=None):
-            fits = [x for x in left if x[1] <= room]
-            single = [min((x for x in fits if x[1] == fits[-1][1]), default=None)] if fits else []
-            chosen = single
-            if room > 2 * average > 0 and len(left) > 1:
-                total, group = 0, []
-                for x in left:
-                    if total + x[1] <= room:
-                        total += x[1]
-                        group.append(x)
-                if len(group) > 1 and (total > 0.8 * room or (single and total > single[0][1])):
-                    chosen = group
+            fits = bisect_right(sizes, room)  # files before this place fit
+            first, last = (bisect_left(sizes, sizes[fits - 1]), 1) if fits else (0, 0)
+            if room > 2 * average > 0 and len(sizes) > 1:
+                total = many = 0
+                while many < len(sizes) and total + sizes[many] <= room:
+                    total, many = total + sizes[many], many + 1
+                if many > 1 and (total > 0.8 * room or (last and total > sizes[first])):
+                    first, last = 0, many
             at = start
-            for x in chosen:
-                out.append((key[0], x[0], pi, at))
-                at += x[1]
-                left.remove(x)
+            for x in range(first, first + last):
+                out.append((key[0], ids[x], pi, at))
+                at += sizes[x]
+            del ids[first : first + last], sizes[first : first + last]
         return pd.DataFrame(out, columns=["bkt_id", "id", "pi", "po"]).astype("int64")
 
     return hole.groupBy("bkt_id").cogroup(files.groupBy("bkt_id")).applyInPandas(fit, "bkt_id long, id long, pi long, po long")

@@ -88,6 +88,28 @@ def promote_versions(obj: DataFrame, version: DataFrame) -> DataFrame:
     return met.select(*[F.when(F.col("up"), F.col(f"v.{c}")).otherwise(F.col(c)).alias(c) if c in ("did", "s", "m") else F.col(c) for c in obj.columns])
 
 
+def put_objects(obj: DataFrame, data: DataFrame, batch: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Put a batch (pos, id, pid, did, s, m, t, n) of objects: id 0 becomes ``first_id`` + pos, an empty name the
+    id, and a parent -i - 1 the id at place i of the batch.  Files take data id, size (the block's) and time of
+    the version of largest data id put below them, if it is larger than theirs.  Returns all objects, and the
+    counters (logical, saved): bytes of files put, and of those whose block another live object refers to."""
+    given = batch.withColumn("id", F.when(F.col("id") == 0, F.col("pos") + first_id).otherwise(F.col("id")))
+    places = given.select((-F.col("pos") - 1).alias("pid"), F.col("id").alias("parent"))
+    name = F.when(F.col("n") == "", F.col("id").cast("string")).otherwise(F.col("n"))
+    columns = ["id", "pid", "did", "s", "m", "t", "n"]
+    put = given.join(places, "pid", "left").withColumn("n", name).withColumn("pid", F.coalesce("parent", "pid")).select(*columns)
+    best = put.where("t = 3 AND pid > 0 AND did > 0").groupBy(F.col("pid").alias("id")).agg(F.max_by(F.struct("did", "m"), "did").alias("v"))
+    sized = best.join(data.select(F.col("id").alias("block"), "os"), F.col("v.did") == F.col("block"), "left").select("id", "v", "os")
+    met = obj.select(*columns).unionByName(put).join(sized, "id", "left")
+    up = F.coalesce((F.col("t") == 2) & (F.col("v.did") > F.col("did")), F.lit(False))
+    new = {"did": F.col("v.did"), "s": F.coalesce("os", "s"), "m": F.col("v.m")}
+    done = met.select(*[F.when(up, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns])
+    refs = done.where("pid >= 0").groupBy("did").agg(F.count(F.lit(1)).alias("refs"))
+    files = put.where("t = 2 AND s > 0").join(refs, "did", "left")
+    saved = F.sum(F.when((F.col("did") > 0) & (F.col("refs") > 1), F.col("s")).otherwise(0))
+    return done, files.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("logical"), F.coalesce(saved, F.lit(0)).cast("long").alias("saved"))
+
+
 def rename_conflicts(obj: DataFrame, batch: DataFrame, template: str = "({})") -> DataFrame:
     """(id, n) under the policy *rename*: names that live objects or earlier rows of the batch hold get
     the next free number among names of that form."""

@@ -1,19 +1,24 @@
 """Streaming jobs over the tables: each runs to the end of its input and returns what it emitted."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from ..streaming import jobs
 from . import query
 
 
 def _drain(df, mode):
-    """Run a streaming query over all input that there is, into a memory table, and read it."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a streaming query over all input that there is, into a table in the shared folder, and read it:
+    in mode *complete* each batch replaces the table, in mode *append* it adds to it."""
+    path, spark, schema = shared_dir(df.sparkSession), df.sparkSession, df.schema
+    write = "overwrite" if mode == "complete" else "append"
+
+    def put(batch, _):
+        batch.write.mode(write).parquet(f"{path}/rows")
+
+    run = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
 def _events(s):
@@ -35,9 +40,14 @@ def _(s):
     return found.select("pid", F.unix_seconds("window.start").alias("day"), "id", "versions")
 
 
-@query("o209_journal_thresholds")
+@query("o209_journal_thresholds", "journal", recursive=True, sql="""v AS (SELECT file_id, len, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS k FROM journal),
+  w(file_id, k, entries, bytes, due) AS (SELECT file_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT file_id FROM journal)
+    UNION ALL SELECT v.file_id, v.k, CASE WHEN w.due IS NULL THEN w.entries ELSE 0 END + 1, CASE WHEN w.due IS NULL THEN w.bytes ELSE 0 END + v.len,
+      CASE WHEN CASE WHEN w.due IS NULL THEN w.bytes ELSE 0 END + v.len > 900 THEN 'flush' WHEN CASE WHEN w.due IS NULL THEN w.entries ELSE 0 END + 1 > 40 THEN 'snapshot' END
+    FROM w JOIN v ON v.file_id = w.file_id AND v.k = w.k + 1)
+  SELECT file_id, entries, bytes, due FROM w WHERE due IS NOT NULL""")
 def _(s):
-    writes = _events(s).select(F.col("user_id").alias("file_id"), (1 + F.col("event_id") % 50).alias("len"))
+    writes = _events(s).select(F.col("user_id").alias("file_id"), F.col("event_id").alias("seq"), (1 + F.col("event_id") % 50).alias("len"))
     return _drain(jobs.journal_thresholds(writes, 40, 900, idle_ms=None), "append")
 
 

@@ -197,10 +197,34 @@ def _(s):
     return writes.quota_check(puts, s.bkt)
 
 
-@query("o057_object_put", "data", sql="SELECT row_number() OVER (ORDER BY id) - 1 AS pos, CASE WHEN id % 2 = 1 THEN lag(id) OVER (ORDER BY id) ELSE id END AS id FROM data WHERE id < 200")
+#: For every live file a new one without id and name, a version below that, and a version below the file itself.
+_OBJECTS = """k AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k FROM obj WHERE t = 2 AND pid > 0),
+  b AS (SELECT 3 * k AS pos, 0 AS id, pid, did, s, m, 2 AS t, '' AS n FROM k UNION ALL SELECT 3 * k + 1, 0, -3 * k - 1, did + 1, 0, m + 1, 3, 'v' FROM k UNION ALL SELECT 3 * k + 2, id + 500000000, id, did + 2, 0, m + 2, 3, '' FROM k),
+  i AS (SELECT pos, CASE WHEN id = 0 THEN 7000000000000 + pos ELSE id END AS id, pid, did, s, m, t, n FROM b),
+  r AS (SELECT i.id, coalesce(p.id, i.pid) AS pid, i.did, i.s, i.m, i.t, CASE WHEN i.n = '' THEN i.id::VARCHAR ELSE i.n END AS n FROM i LEFT JOIN i p ON p.pos = -i.pid - 1),
+  v AS (SELECT pid AS id, max(did) AS did, arg_max(m, did) AS m FROM r WHERE t = 3 AND pid > 0 AND did > 0 GROUP BY pid),
+  e AS (SELECT id, pid, did, s, m, t, n FROM obj UNION ALL SELECT id, pid, did, s, m, t, n FROM r),
+  done AS (SELECT e.id, e.pid, CASE WHEN u THEN x.did ELSE e.did END AS did, CASE WHEN u THEN coalesce(x.os, e.s) ELSE e.s END AS s, CASE WHEN u THEN x.m ELSE e.m END AS m, e.t, e.n
+           FROM (SELECT e.*, coalesce(e.t = 2 AND v.did > e.did, false) AS u FROM e LEFT JOIN v USING (id)) e LEFT JOIN (SELECT v.*, os FROM v LEFT JOIN data d ON d.id = v.did) x ON x.id = e.id)"""
+
+
+def _objects(s):
+    k = dedup.numbered(s.obj.where("t = 2 AND pid > 0"), "id").withColumn("k", F.col("pos") * 3)
+    zero, columns = F.lit(0).cast("long"), ["pos", "id", "pid", "did", "s", "m", "t", "n"]
+    new = k.withColumns({"pos": F.col("k"), "id": zero, "n": F.lit("")}).select(*columns)
+    below = k.withColumns({"pos": F.col("k") + 1, "id": zero, "pid": -F.col("k") - 1, "did": F.col("did") + 1, "s": zero, "m": F.col("m") + 1, "t": F.lit(3), "n": F.lit("v")}).select(*columns)
+    own = k.withColumns({"pos": F.col("k") + 2, "id": F.col("id") + 500000000, "pid": F.col("id"), "did": F.col("did") + 2, "s": zero, "m": F.col("m") + 2, "t": F.lit(3), "n": F.lit("")}).select(*columns)
+    return writes.put_objects(s.obj, s.data, new.unionByName(below).unionByName(own), 7000000000000)
+
+
+@query("o057_object_put", "data", "obj", sql=f"{_OBJECTS} SELECT * FROM done")
 def _(s):
-    rows = s.data.where("id < 200").select(F.col("id").alias("pos"), F.when(F.col("id") % 2 == 1, -(F.col("id") - 1) - 1).otherwise(F.col("id")).alias("id"))
-    return dedup.resolve_batch(rows)
+    return _objects(s)[0]
+
+
+@query("o057_put_counters", "data", "obj", sql=f"{_OBJECTS}, refs AS (SELECT did, count(*) AS refs FROM done WHERE pid >= 0 GROUP BY did) SELECT coalesce(sum(s), 0)::BIGINT AS logical, coalesce(sum(s) FILTER (did > 0 AND refs > 1), 0)::BIGINT AS saved FROM r LEFT JOIN refs USING (did) WHERE t = 2 AND s > 0")
+def _(s):
+    return _objects(s)[1]
 
 
 @query("o093_promote_versions", "version", sql="""f AS (SELECT pid AS id, min(id) AS did, 0::BIGINT AS s, 0::BIGINT AS m FROM version GROUP BY pid), v AS (SELECT pid, arg_max((did, s, m), did) AS v FROM version WHERE t = 3 GROUP BY pid)

@@ -43,7 +43,7 @@ def retained_versions(versions: DataFrame, width: str = "1 day", late: str = "1
 
 def journal_thresholds(writes: DataFrame, max_entries: int, max_bytes: int, idle_ms: int | None = 30_000) -> DataFrame:
     """Emits (file_id, entries, bytes, due) whenever a journal passes a threshold or has been idle; what
-    is due empties it.  Input: file_id, len.  Without ``idle_ms`` there is no timeout, so that a run over
+    is due empties it.  Input: file_id, seq, len; within a micro-batch writes count in the order of seq.  Without ``idle_ms`` there is no timeout, so that a run over
     what is available ends."""
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         entries, size = state.get if state.exists else (0, 0)
@@ -52,20 +52,19 @@ def journal_thresholds(writes: DataFrame, max_entries: int, max_bytes: int, idle
             yield pd.DataFrame([(key[0], entries, size, "idle")], columns=["file_id", "entries", "bytes", "due"])
             return
         out = []
-        for part in parts:
-            for n in part["len"]:
-                entries, size = entries + 1, size + int(n)
-                due = "flush" if size > max_bytes else "snapshot" if entries > max_entries else None
-                if due:
-                    out.append((key[0], entries, size, due))
-                    entries, size = 0, 0
+        for n in pd.concat(list(parts)).sort_values("seq")["len"]:
+            entries, size = entries + 1, size + int(n)
+            due = "flush" if size > max_bytes else "snapshot" if entries > max_entries else None
+            if due:
+                out.append((key[0], entries, size, due))
+                entries, size = 0, 0
         state.update((entries, size))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["file_id", "entries", "bytes", "due"])
 
-    return writes.select("file_id", "len").groupBy("file_id").applyInPandasWithState(step, "file_id long, entries long, bytes long, due string", "entries long, bytes long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return writes.select("file_id", "seq", "len").groupBy("file_id").applyInPandasWithState(step, "file_id long, entries long, bytes long, due string", "entries long, bytes long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def pending_deletions(requests: DataFrame) -> DataFrame:

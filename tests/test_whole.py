@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from cairnlake import plans
 from cairnlake.catalog import Store
-from cairnlake.operators import dedup, hierarchy, intervals
+from cairnlake.functions import payload
+from cairnlake.operators import dedup, hierarchy, packing
 
 DATA = "/root/testdata/sf0.001"
 plans.load()
@@ -66,3 +67,40 @@ def test_deeper_trees_raise(spark, monkeypatch):
         assert walk(fits).count() >= 4
         with pytest.raises(ValueError):
             walk(deep)
+
+
+def test_best_fit_against_a_plain_walk(spark):
+    import random
+
+    r = random.Random(3)
+    holes = [(b, p, 100 * i, r.choice([1, 3, 8, 20, 45])) for b in range(3) for p in range(4) for i in range(5)]
+    files = [(b, 1000 * b + i, r.randrange(1, 15)) for b in range(4) for i in range(40)]
+    want = set()
+    for b in range(3):
+        left = sorted((s, i) for x, i, s in files if x == b)
+        average = sum(s for s, _ in left) // len(left)
+        for _, p, at, room in sorted(h for h in holes if h[0] == b):
+            fits = [x for x in left if x[0] <= room]
+            chosen = [min(x for x in fits if x[0] == fits[-1][0])] if fits else []
+            if room > 2 * average and len(left) > 1:
+                total, group = 0, []
+                for x in left:
+                    if total + x[0] <= room:
+                        total += x[0]
+                        group.append(x)
+                if len(group) > 1 and (total > 0.8 * room or (chosen and total > chosen[0][0])):
+                    chosen = group
+            for x in chosen:
+                want.add((x[1], p, at))
+                at += x[0]
+                left.remove(x)
+    got = packing.best_fit(spark.createDataFrame(holes, "bkt_id long, pi long, start long, size long"), spark.createDataFrame(files, "bkt_id long, id long, size long"))
+    assert {tuple(x) for x in got.select("id", "pi", "po").collect()} == want and want
+
+
+def test_codecs_round_trip(spark):
+    texts = ["", "a", "ab" * 5000, "é漢字" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.encode("t", "UTF-8").alias("b"))
+    for codec in (payload.ZSTD, payload.GZIP, payload.SNAPPY, payload.BROTLI):
+        got = df.select("t", F.decode(payload.decompress(payload.compress(F.col("b"), codec), codec), "UTF-8").alias("back"), payload.process(F.col("b"), codec)["kind"].alias("kind"))
+        assert all(r.t == r.back and (r.kind & codec != 0) == (len(r.t) > 100) for r in got.collect())
