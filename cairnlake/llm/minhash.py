@@ -237,33 +237,39 @@ def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
     return of.where("a != b").distinct()
 
 
-def _hidden(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Links (a, b) among the classes of keys that still hold several components besides the hub.  Keys
-    with the same classes count once."""
+def _hidden(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the reps of keys that still hold several components besides the hub.  Keys with
+    the same reps count once."""
+    kind = dict(met.dtypes)["rep"]
     of = roots.select(F.col("node").alias("rep"), "root")
-    inside = materialise(met.join(of, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
-    open_ = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.struct(F.bit_xor(F.xxhash64("rep")), F.sum(F.shiftright(F.xxhash64("rep"), 32)), F.count(F.lit(1))).alias("same"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    open_ = materialise(open_.where("low != high").groupBy("same").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks"))
-    held = inside.join(bounded_broadcast(open_), "key").select("key", "blocks", "rep", "root").join(sets.select("rep", "shingles"), "rep")
-    dealt = held.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    inside = materialise(met.join(of, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
+    name = F.xxhash64("rep")
+    open_ = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 32)).alias("y"), F.count(F.lit(1)).alias("z"))
+    open_ = materialise(open_.where("low != high").groupBy("x", "y", "z").agg(F.min("key").alias("key")).select("key"))
+    held = inside.join(bounded_broadcast(open_), "key")
+    blocks = held.join(sets.select("rep", "n"), "rep").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    held = held.join(bounded_broadcast(materialise(blocks)), "key").join(sets.select("rep", "shingles"), "rep")
+    dealt = held.withColumn("block", F.pmod(name, F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "root", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks").where("other != block OR blocks = 1")
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("root").alias("rep"), "shingles")
     return dealt.groupBy("key", "i", "j").applyInArrow(lambda t: _link_block(t, percent), f"a {kind}, b {kind}")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """From (key, rep, n), n the size of rep's set: (key, hub, rep, n) of all but the least rep of each key
-    that several share; hub is that least (rep, n)."""
-    hubs = materialise(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("top")).where("hub.rep != top").select("key", "hub"))
-    return materialise(keys.join(bounded_broadcast(hubs), "key").where("rep != hub.rep").select("key", "hub", "rep", "n"))
+    """From distinct (key, rep): (key, hub, rep) of all but the least rep of each key that several share; hub
+    is that least."""
+    hubs = materialise(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub != top").select("key", "hub"))
+    return materialise(keys.join(bounded_broadcast(hubs), "key").where("rep != hub").select("key", "hub", "rep"))
 
 
 def verified_links(met: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b), verified on the full sets (rep, n, shingles), whose components are those of all pairs
     that share a key and satisfy 100 * intersection >= percent * union; ``known`` has further links."""
-    kind = dict(met.dtypes)["rep"]
-    sized = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    candidates = materialise(met.where(sized).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")), x)
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    candidates = materialise(pairs.where(sized).select("a", "b").distinct())
     first = materialise(candidates.groupBy("b").agg(F.min("a").alias("a")))
     links = _verified(first, sets, percent)
     roots = materialise(connected_components(links))
@@ -271,7 +277,7 @@ def verified_links(met: DataFrame, sets: DataFrame, percent: int, known: DataFra
     links = links.unionByName(_verified(_apart(rest, roots), sets, percent))
     links = materialise(links.unionByName(known) if known else links)
     roots = materialise(connected_components(links))
-    return links.unionByName(_hidden(met, roots, sets, percent, kind))
+    return links.unionByName(_hidden(met, roots, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -280,10 +286,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     kind = dict(docs.dtypes)["doc_id"]
     signed = materialise(signatures(docs, shingle))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "value")).select("rep", "n", F.xxhash64("band", "value").alias("key"))
+    classes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    keys = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
     met = shared_keys(keys)
-    wanted = met.select(F.explode(F.array("rep", "hub.rep")).alias("rep")).distinct()
+    wanted = met.select(F.explode(F.array("rep", "hub")).alias("rep")).distinct()
     sets = materialise(_sets(docs, classes.join(wanted, "rep").select("rep", "d1", "d2"), shingle))
     joined = materialise(connected_components(verified_links(met, sets, percent, _shared_ids(usable, classes))))
 

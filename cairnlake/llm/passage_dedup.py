@@ -16,9 +16,10 @@ Paragraphs are of two kinds:
 1. One pass in Arrow batches finds the keys of all paragraphs, and a digest of each text.
 2. Equal texts repeat as a whole; one of each group takes part in the rest.  Keys found in one text only
    are dropped by an aggregation with partial minima and maxima.
-3. The texts that hold other keys are read again; their paragraphs with such keys go on: key, text, place,
-   digest of the words, shingles.
-4. Paragraphs with equal words are one kind.  Kinds with a key in common are linked where the Jaccard
+3. The texts that hold other keys are read again; their paragraphs with such keys go on: text, place, digest
+   of the words, keys.
+4. Paragraphs with equal words are one kind.  Of kinds that share a key with another, one place each is read
+   for its shingles.  Kinds with a key in common are linked where the Jaccard
    similarity of their shingle sets, compared in full, is PERCENT or more: first with the key's least kind,
    then, in keys whose kinds are not one component by that, among each other in blocks of bounded size.
 5. Components of the links are the clusters; a cluster in two documents or more is a repeat.  The document
@@ -154,28 +155,53 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             parts = []
             for key, start, end in read.paragraphs():
                 hit = np.isin(key + read.of[start].astype(np.uint64) * _TEXT, ask)
-                parts.append(np.column_stack([read.of[start[hit]], key[hit].view(np.int64), start[hit], end[hit]]))
+                parts.append(np.column_stack([start[hit], end[hit], key[hit].view(np.int64)]))
             rows = np.concatenate(parts)
             if len(rows):
-                low, spans = read.g.astype(np.uint32).view(np.int32), rows[:, 2:].tolist()
-                kinds = [hashlib.blake2b(read.h[a:b].tobytes(), digest_size=12).digest() for a, b in spans]
-                sets = [np.unique(low[a : b - SHINGLE + 1]) for a, b in spans]
-                text = pa.array(rows[:, 0])
-                of = [batch.column(c).take(text) for c in ("rep", "k1", "k2")]
-                place = rows[:, 2:] - read.first[rows[:, 0], None]
-                columns = [*of, pa.array(rows[:, 1]), pa.array(place[:, 0].astype(np.int32)), pa.array(place[:, 1].astype(np.int32)), pa.array(kinds, pa.binary()), pa.array(sets, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "k1", "k2", "key", "place", "end", "kind", "shingles"])
-
-    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, key long, place int, end int, kind binary, shingles array<int>"))
-    sets = materialise(places.groupBy(F.col("kind").alias("rep")).agg(F.first("shingles").alias("shingles")).select("rep", F.size("shingles").alias("n"), "shingles"))
-    met = shared_keys(places.select("key", F.col("kind").alias("rep"), F.size("shingles").alias("n")).distinct())
-    roots = materialise(connected_components(verified_links(met, sets, PERCENT)).select(F.col("node").alias("kind"), "root"))
-    seen = places.select("rep", "k1", "k2", "place", "end", "kind").distinct().join(roots, "kind", "left")
-    seen = materialise(seen.select("rep", "k1", "k2", "place", "end", F.coalesce("root", "kind").alias("cluster")))
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                new = np.append(True, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1))
+                spans, at = rows[new, :2], np.append(np.flatnonzero(new), len(rows))
+                kinds = [hashlib.blake2b(read.h[x:y].tobytes(), digest_size=12).digest() for x, y in spans.tolist()]
+                text = read.of[spans[:, 0]]
+                of = [batch.column(c).take(pa.array(text)) for c in ("rep", "k1", "k2")]
+                place = (spans - read.first[text, None]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(kinds, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(rows[:, 2]))], names=["rep", "k1", "k2", "place", "end", "kind", "keys"])
+
+    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind binary, keys array<long>"))
+    # Kinds get numbers, so that what follows aggregates and joins on whole numbers.
+    numbers = materialise(places.select("kind").distinct().select("kind", F.monotonically_increasing_id().alias("kid")))
+    places = materialise(places.join(numbers, "kind").select("rep", "k1", "k2", "place", "end", "kid", "keys"))
+    met = shared_keys(places.select(F.explode("keys").alias("key"), F.col("kid").alias("rep")).distinct())
+    sets = materialise(_shingle_sets(texts, places, met, kind))
+    roots = materialise(connected_components(verified_links(met, sets, PERCENT)).select(F.col("node").alias("kid"), "root"))
+    seen = materialise(places.join(roots, "kid", "left").select("rep", "k1", "k2", "place", "end", F.coalesce("root", "kid").alias("cluster")))
     clusters = seen.groupBy("cluster").agg(F.min("rep").alias("first_doc_id"), F.max("rep").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
     return found.select("doc_id", "k1", "k2", "n_words").distinct(), seen.join(materialise(clusters), "cluster")
 
 
+def _shingle_sets(texts: DataFrame, places: DataFrame, met: DataFrame, kind: str) -> DataFrame:
+    """(rep, n, shingles) of the kinds that share a key with others, read from one place of each."""
+    wanted = materialise(met.select(F.explode(F.array("rep", "hub")).alias("kid")).distinct())
+    some = places.join(wanted, "kid").select("kid", "rep", "k1", "k2", "place", "end")
+    some = some.join(some.groupBy("kid").agg(F.min("k1").alias("k1")), ["kid", "k1"])
+    asked = materialise(some.groupBy("rep", F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.collect_list(F.struct("kid", "place", "end")).alias("places")))
+    held = texts.join(bounded_broadcast(asked), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("text", "places")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of = Texts(batch.column("text").to_pylist())
+            low = of.g.astype(np.uint32).view(np.int32)
+            asked = batch.column("places")
+            ends, rows = asked.offsets.to_numpy(), asked.flatten()
+            base = np.repeat(of.first, np.diff(ends))
+            start, end = rows.field("place").to_numpy() + base, rows.field("end").to_numpy() + base
+            sets = [np.unique(low[a : b - SHINGLE + 1]) for a, b in zip(start.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([rows.field("kid"), pa.array(sets, pa.list_(pa.int32()))], names=["kid", "shingles"])
+
+    made = held.mapInArrow(read, "kid long, shingles array<int>").groupBy(F.col("kid").alias("rep")).agg(F.first("shingles").alias("shingles"))
+    return made.select("rep", F.size("shingles").alias("n"), "shingles")
+
+
 def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of words under paragraphs with these starts and ends."""
     out: list[tuple[int, int]] = []

@@ -45,8 +45,6 @@ PIECE = 1_000_000
 GROUP, BLOCKS = 1000, 16
 #: Windows that a task judges, about, and contexts in a batch.
 TASK_WINDOWS, BATCH = 150_000, 500
-#: Rows of single numbers up to which the hashes found twice are broadcast.
-HASH_ROWS = 1_000_000
 
 _PICKS = LENGTH - GRAM + 1
 _TABLE = np.random.default_rng(20240301).integers(0, 2**63, 256, np.uint64)
@@ -230,7 +228,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     found = materialise(keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, h long, times int"))
     twice = materialise(found.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("times").alias("times")).where("a != b OR times > 1").select("h"))
-    again = found.join(bounded_broadcast(twice, HASH_ROWS), "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
+    again = found.join(bounded_broadcast(twice), "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
     again = materialise(again.join(copies, ["k1", "k2"]).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "rep", "hashes"))
     held = keyed.join(bounded_broadcast(again), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
 
@@ -256,11 +254,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = materialise(groups.select("h", "windows", F.ceil(F.col("kinds") / GROUP).cast("int").alias("blocks")))
     few, many = groups.where(F.col("blocks") <= BLOCKS), groups.where(F.col("blocks") > BLOCKS)
     windows = few.agg(F.coalesce(F.sum(F.col("windows") * F.greatest(F.col("blocks") - 1, F.lit(1))), F.lit(0))).first()[0]
-    dealt = kinds.join(bounded_broadcast(few.select("h", "blocks"), HASH_ROWS), "h").withColumn("block", F.pmod("c1", F.col("blocks")).cast("int"))
+    dealt = kinds.join(bounded_broadcast(few.select("h", "blocks")), "h").withColumn("block", F.pmod("c1", F.col("blocks")).cast("int"))
     dealt = dealt.select("h", "c1", "c2", "context", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks").where("other != block OR blocks = 1")
     dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c1", "c2", "context")
     judged = dealt.repartition(max(1, -(-windows // TASK_WINDOWS)), "h", "i", "j").mapInArrow(_judge, "h long, c1 long, c2 long, spans array<struct<start:int,end:int>>")
-    prints = materialise(kinds.join(bounded_broadcast(many.select("h"), HASH_ROWS), "h").select("h", "c1", "c2", "context").mapInArrow(_fingerprints, "h long, c1 long, c2 long, start int, f1 long, f2 long"))
+    prints = materialise(kinds.join(bounded_broadcast(many.select("h")), "h").select("h", "c1", "c2", "context").mapInArrow(_fingerprints, "h long, c1 long, c2 long, start int, f1 long, f2 long"))
     equal = materialise(prints.groupBy("f1", "f2").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a != b").select("f1", "f2"))
     printed = prints.join(equal, ["f1", "f2"]).groupBy("h", "c1", "c2").agg(F.collect_list("start").alias("starts"))
     printed = printed.select("h", "c1", "c2", F.transform("starts", lambda s: F.struct(s.alias("start"), (s + LENGTH).alias("end"))).alias("spans"))
