@@ -60,6 +60,30 @@ def test_quality_keeps_good_and_drops_bad(docs, labels):
     assert n.get((0, False), 0) >= 0.8 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
+def test_quality_on_labels_that_the_fit_has_not_seen(docs, labels):
+    seen, unseen = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    got = quality.digest(docs, seen).join(unseen, "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.where("NOT base_failed").groupBy("quality", "kept").count().collect()}
+    assert n.get((1, True), 0) >= 0.95 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert n.get((0, False), 0) >= 0.7 * (n.get((0, True), 0) + n.get((0, False), 0))
+
+
+def test_statistics_of_a_very_long_text():
+    text = " ".join(words(300_000, 5, 10**9)) + " a b c a b c"
+    assert quality.rule_statistics(text)[4] == 6
+
+
+def test_digest_against_a_walk_of_the_whole_query(docs, labels):
+    forest, threshold = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.digest(docs, labels).collect()}
+    for r in docs.collect():
+        n, _, _, _, repeats = plain_statistics(r.text)
+        stats = np.array([quality.rule_statistics(r.text)], np.int64)
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert got[r.doc_id].base_failed == failed
+        assert got[r.doc_id].kept == (not failed and quality.score_forest(forest, quality.features(stats))[0] <= threshold)
+
+
 def test_quality_of_odd_rows(repeated, nothing, labels):
     assert quality.digest(nothing, labels).count() == 0
     got = quality.digest(repeated, labels.where("false"))
@@ -327,6 +351,8 @@ def test_suffixes_of_odd_rows(repeated, repeated_rows, nothing):
     assert suffix_dedup.digest(nothing).count() == 0
     got = collections.Counter(tuple(r)[1:] for r in suffix_dedup.digest(repeated).collect())
     assert got == collections.Counter(plain_removal([r[1] for r in repeated_rows]))
+    kept = suffix_dedup.remove_repeats(repeated)
+    assert kept.select("row.*").columns == repeated.columns and kept.count() == repeated.count()
 
 
 def test_levels_grow_geometrically():
@@ -358,6 +384,37 @@ def test_kneser_ney_is_a_distribution():
         assert np.allclose(p + unseen, 1, atol=1e-3)
 
 
+def test_scores_against_a_plain_model():
+    def codes(text):
+        return language.grams([text])[0].tolist()
+
+    learned = {"x": "abra cadabra barbarian rabarber", "y": "ici le chat et la chatte", "z": "der hund und die hunde"}
+    model = language.KneserNey({k: np.unique(codes(t), return_counts=True) for k, t in learned.items()})
+    mask = lambda k: (1 << (12 * k)) - 1
+    of = {k: {4: collections.Counter(codes(t))} for k, t in learned.items()}
+    for counts in of.values():
+        for k in (3, 2, 1):
+            counts[k] = collections.Counter(c & mask(k) for c in counts[k + 1])
+    letters = len({c for counts in of.values() for c in counts[1]})
+
+    def p(counts, code, k=4):
+        if k == 0:
+            return 1 / (1 + letters)
+        here = counts[k]
+        once, twice = (sum(n == m for n in here.values()) for m in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        same = [n for c, n in here.items() if c >> 12 == code >> 12]
+        lower = p(counts, code & mask(k - 1), k - 1)
+        return lower if not same else max(here[code] - d, 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    for text in ("abra", "le hund barbar", "qqq zz", "chatte und", "A"):
+        want = [sum(np.log(p(of[k], c)) for c in codes(text)) for k in "xyz"]
+        sums, n = model.totals([text])
+        assert np.allclose(sums[0], want, atol=1e-3) and n[0] == len(codes(text))
+        names, *_ = language._identify(model, np.array([[9.0, 0.0]] * 3), [text])
+        assert names == ["xyz"[int(np.argmax(np.round(want, 6)))]]
+
+
 def test_grams_in_plain():
     def plain(t):
         ids = [ord(c) if c.isalpha() else 0 for c in t.lower()]
