@@ -133,3 +133,17 @@ def download_plan(below: DataFrame, size: int) -> DataFrame:
     each directory."""
     nth = F.row_number().over(Window.partitionBy("parent").orderBy("id")) - 1
     return below.select("id", "path", F.floor(nth / size).cast("long").alias("page"))
+
+
+def journal_route(writes: DataFrame) -> DataFrame:
+    """Adds ``journal``: whether a write (off, did, size of its file, has_journal, temporary, chunked) goes to
+    the file's journal: not in temporary files, beside a chunked writer or in files without data; else when it
+    is no write at the start, or the file has a journal, or it appends."""
+    plain = ~F.col("temporary") & ~F.col("chunked") & (F.col("did") > 0)
+    return writes.withColumn("journal", plain & ((F.col("off") != 0) | F.col("has_journal") | ((F.col("off") == F.col("size")) & (F.col("size") > 0))))
+
+
+def oldest_writes(writes: DataFrame, many: int) -> DataFrame:
+    """The first writes of each file by seq: one batch of a merge in batches."""
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("seq"))
+    return writes.withColumn("nth", nth).where(F.col("nth") <= many).drop("nth")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import CONTENT_CHUNK, FILES
-from ..functions import cron, payload
+from ..functions import cron, payload, secrets
 from ..operators import flush, hierarchy, intervals
 from . import query
 from .payload import _writes
@@ -196,3 +196,92 @@ def _(s):
 def _(s):
     rows = s.spark.createDataFrame([("",), ("a",), ("abc",)], "content string")
     return rows.select("content", payload.xxh3(F.encode("content", "UTF-8")).alias("x"))
+
+
+@query("o193_merge_in_batches", "journal", "text", sql=f"{_OVER.format(only='WHERE seq IN (SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS k FROM journal) WHERE k <= 5)')} SELECT file_id, p // {_C} AS sn, md5(unhex(string_agg(x, '' ORDER BY p))) AS sum FROM m GROUP BY ALL")
+def _(s):
+    writes = flush.oldest_writes(_writes(s), 5)
+    return flush.generate_chunks(flush.all_chunks(_sizes(s, writes), _C), _base(s), writes, _C).select("file_id", "sn", _sum())
+
+
+@query("o247_wal_append", "journal", sql="SELECT file_id, seq, seq % 17 != 0 AS valid FROM journal")
+def _(s):
+    kept = _writes(s).withColumn("sum", payload.xxh3(F.col("body")))
+    read = kept.withColumn("body", F.when(F.col("seq") % 17 == 0, F.concat("body", F.unhex(F.lit("00")))).otherwise(F.col("body")))
+    return read.select("file_id", "seq", (payload.xxh3(F.col("body")) == F.col("sum")).alias("valid"))
+
+
+@query("o248_wal_snapshot", "journal", sql="SELECT file_id, count(*) AS entries, max(off + len) AS size, (16 + sum(16 + len))::BIGINT AS bytes FROM journal GROUP BY file_id")
+def _(s):
+    packed = payload.pack_journals(_writes(s)).select("file_id", F.octet_length("raw").cast("long").alias("bytes"))
+    sums = s.journal.groupBy("file_id").agg(F.count(F.lit(1)).alias("entries"), F.max(F.col("off") + F.col("len")).alias("size"))
+    return sums.join(packed, "file_id")
+
+
+@query("o194_wal_recovery", "journal", sql="SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY seq) - 1 AS nth, off, len, md5(repeat((seq % 10)::VARCHAR, len::INT)) AS sum FROM journal WHERE seq <= (SELECT max(seq) // 2 FROM journal)")
+def _(s):
+    half = s.journal.agg(F.expr("max(seq) div 2")).first()[0] or 0
+    snapshot = payload.pack_journals(_writes(s).where(F.col("seq") <= half))  # later entries are in no snapshot
+    return payload.unpack_journals(snapshot).select("file_id", "nth", "off", "len", F.md5("body").alias("sum"))
+
+
+@query("o254_journal_route", "journal", "data", sql="""SELECT seq, coalesce(seq % 11 != 0 AND seq % 13 != 0 AND d.id > 0 AND (j.o != 0 OR seq % 2 = 0 OR (j.o = d.s AND d.s > 0)), false) AS journal
+  FROM (SELECT seq, file_id, CASE WHEN seq % 3 = 0 THEN 0 ELSE off END AS o FROM journal) j LEFT JOIN data d ON d.id = file_id""")
+def _(s):
+    k = F.col("seq")
+    files = s.data.select(F.col("id").alias("file_id"), F.col("id").alias("did"), F.col("s").alias("size"))
+    rows = s.journal.select("seq", "file_id", F.when(k % 3 == 0, 0).otherwise(F.col("off")).alias("off"), (k % 2 == 0).alias("has_journal"), (k % 11 == 0).alias("temporary"), (k % 13 == 0).alias("chunked"))
+    met = flush.journal_route(rows.join(files, "file_id", "left").withColumn("did", F.coalesce("did", F.lit(0))))
+    return met.select("seq", F.coalesce("journal", F.lit(False)).alias("journal"))
+
+
+_KEY = bytes(range(32))
+
+
+@query("o163_encrypt", "text", sql="SELECT id, octet_length(bytes) + 28 AS size, md5(bytes) AS sum FROM text")
+def _(s):
+    kept = s.text.select("id", F.aes_encrypt("bytes", F.lit(_KEY)).alias("bytes"))
+    return kept.select("id", F.octet_length("bytes").cast("long").alias("size"), F.md5(F.aes_decrypt("bytes", F.lit(_KEY))).alias("sum"))
+
+
+@query("o164_encrypt_names", "obj", sql="SELECT id, 2 * (strlen(n) + 28) AS size, n FROM obj")
+def _(s):
+    kept = s.obj.select("id", secrets.encrypt_name(F.col("n"), _KEY).alias("kept"))
+    return kept.select("id", F.length("kept").cast("long").alias("size"), secrets.decrypt_name(F.col("kept"), _KEY).alias("n"))
+
+
+@query("o165_decrypt_names", "obj", sql="SELECT id, n FROM obj")
+def _(s):
+    kept = s.obj.select("id", F.when(F.col("id") % 2 == 0, secrets.encrypt_name(F.col("n"), _KEY)).otherwise(F.col("n")).alias("kept"))
+    return kept.select("id", secrets.decrypt_name(F.col("kept"), _KEY).alias("n"))
+
+
+@query("o171_passwords", "usr", sql="SELECT id, true AS fits, false AS other FROM usr")
+def _(s):
+    salt = F.unhex(F.md5(F.encode("usr", "UTF-8")))
+    kept = s.usr.select("id", "usr", secrets.hash_password(F.col("usr"), salt, 1000 + F.col("id") % 50).alias("kept"))
+    return kept.select("id", secrets.verify_password(F.col("usr"), F.col("kept")).alias("fits"), secrets.verify_password(F.concat("usr", F.lit("x")), F.col("kept")).alias("other"))
+
+
+#: Published vectors of PBKDF2 with HMAC-SHA1, the first 16 bytes.
+@query("o171_vectors", sql="SELECT * FROM (VALUES (1, '0c60c80f961f0e71f3a9b524af601206'), (4096, '4b007901b765489abead49d926f721d0')) v(rounds, hash)")
+def _(s):
+    rows = s.spark.createDataFrame([(1,), (4096,)], "rounds int")
+    return rows.select("rounds", F.lower(F.hex(secrets.derived(F.lit("password"), F.encode(F.lit("salt"), "UTF-8"), F.col("rounds")))).alias("hash"))
+
+
+@query("o172_key_errors", "usr", sql="SELECT id, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN 'key missing' WHEN id % 3 = 1 THEN CASE WHEN k <= 16 THEN 'AES256 needs more than 16 bytes' END ELSE CASE WHEN k != 16 THEN 'SM4 needs 16 bytes' END END AS error FROM (SELECT id, strlen(substr(usr, 1, (14 + id % 5)::INT)) AS k FROM usr)")
+def _(s):
+    way = F.element_at(F.array(F.lit(0), F.lit(payload.AES256), F.lit(payload.SM4)), (F.col("id") % 3 + 1).cast("int"))
+    key = F.when(F.col("id") % 7 == 0, "").otherwise(F.substring(F.col("usr"), F.lit(1), (14 + F.col("id") % 5).cast("int")))
+    return s.usr.select("id", secrets.key_error(way, key).alias("error"))
+
+
+@query("o146_quotes", "usr", sql="SELECT id, replace(replace(usr, '#', chr(39)), chr(39), chr(39) || chr(39)) AS literal FROM usr")
+def _(s):
+    return s.usr.select("id", secrets.quoted(F.replace("usr", F.lit("#"), F.lit("'"))).alias("literal"))
+
+
+@query("o176_new_ids", "obj", sql="SELECT count(*) AS rows, count(DISTINCT id) AS ids FROM obj")
+def _(s):
+    return s.obj.select(F.monotonically_increasing_id().alias("id")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
