@@ -9,6 +9,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .payload import AES256, SM4
 
@@ -37,7 +38,7 @@ def key_error(way: Column, key: Column) -> Column:
     return F.when((way == 0), None).when(key == "", "key missing").when(way.bitwiseAND(AES256) != 0, aes).when(way.bitwiseAND(SM4) != 0, sm4)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def derived(password: pd.Series, salt: pd.Series, rounds: pd.Series) -> pd.Series:
     """16 bytes of PBKDF2 with HMAC-SHA1."""
     return pd.Series([hashlib.pbkdf2_hmac("sha1", p.encode(), bytes(s), int(n), 16) for p, s, n in zip(password, salt, rounds)])
@@ -51,7 +52,7 @@ def hash_password(password: Column, salt: Column, rounds: Column) -> Column:
     return F.concat_ws(":", rounds.cast("string"), text(salt), text(derived(password, salt, rounds)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def verify_password(password: pd.Series, stored: pd.Series) -> pd.Series:
     def fits(p: str, s: str) -> bool:
         rounds, salt, want = s.split(":")
