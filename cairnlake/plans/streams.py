@@ -56,3 +56,15 @@ def _(s):
     puts = s.table("documents").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size"))
     small, large = jobs.admit(puts, 10000)
     return small.select("id", F.lit(False).alias("direct")).unionByName(large.select("id", F.lit(True).alias("direct")))
+
+
+@query("o205_batch_writer", sql="SELECT event_id AS id, strlen(props)::BIGINT AS size FROM events")
+def _(s):
+    path = shared_dir(s.spark)
+
+    def flush(batch, number):  # a batch that is tried again replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    puts = _events(s).select(F.col("event_id").alias("id"), F.octet_length("props").cast("long").alias("size"))
+    jobs.buffered_writes(puts, flush, None, f"{path}/state").awaitTermination()
+    return s.spark.read.schema(puts.schema).parquet(f"{path}/rows").select("id", "size")

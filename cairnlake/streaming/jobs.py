@@ -18,9 +18,11 @@ def read_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def buffered_writes(stream: DataFrame, flush: Callable[[DataFrame, int], None], every: str, checkpoint: str):
-    """The batch writer: every trigger flushes what came, through ``flush(batch, number)``."""
-    return stream.writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(flush).start()
+def buffered_writes(stream: DataFrame, flush: Callable[[DataFrame, int], None], every: str | None, checkpoint: str):
+    """The batch writer: every trigger flushes what came, through ``flush(batch, number)``.  Without a time it
+    flushes what there is, and ends."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(flush).start()
 
 
 def admit(puts: DataFrame, buffer_bytes: int, share: float = 0.35) -> tuple[DataFrame, DataFrame]:
