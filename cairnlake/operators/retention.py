@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def split_versions(version: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Full versions and journals."""
@@ -60,8 +62,8 @@ def max_journals_rule(version: DataFrame, deleted: DataFrame, most: int) -> Data
 
 def retention(version: DataFrame, width: int, most: int, least_full: int, journals: int) -> DataFrame:
     """(id, pid, rule) of all versions that go or merge; later rules see what earlier ones delete."""
-    first = window_rule(version, width)
-    second = max_versions_rule(version, first, most, least_full)
+    first = materialise(window_rule(version, width))
+    second = materialise(max_versions_rule(version, first, most, least_full))
     gone = first.unionByName(second)
     third = max_journals_rule(version, gone, journals).join(version.select("id", "pid"), "id")
     tagged = first.withColumn("rule", F.lit("window")).unionByName(second.withColumn("rule", F.lit("versions"))).unionByName(third.select("id", "pid", F.lit("journals").alias("rule")))

@@ -95,12 +95,15 @@ def _(s):
     return retention.simple_max_versions(s.version, 8)
 
 
-@query("o123_max_versions_exact", "version", recursive=True, sql=f"""{_RULE1},
+#: The rule of most versions walks each file's versions, newest first; what is kept decides what goes.
+_RULE2 = f"""{_RULE1},
   v AS (SELECT id, pid, t, id IN (SELECT base FROM deps) AS needed, row_number() OVER (PARTITION BY pid ORDER BY m DESC, id DESC) AS k, count(*) OVER (PARTITION BY pid) AS n FROM version WHERE t IN (3, 4) AND id NOT IN (SELECT id FROM rule1)),
   w(id, pid, k, gone, kept, fulls) AS (SELECT id, pid, k, false, 1, (t = 3)::INT FROM v WHERE k = 1 AND n > 8
     UNION ALL SELECT v.id, v.pid, v.k, w.kept >= 8 AND NOT (t = 3 AND (needed OR w.fulls <= 2)),
-      w.kept + CASE WHEN w.kept >= 8 AND NOT (t = 3 AND (needed OR w.fulls <= 2)) THEN 0 ELSE 1 END, w.fulls + CASE WHEN t = 3 AND NOT (w.kept >= 8 AND NOT (needed OR w.fulls <= 2)) THEN 1 ELSE 0 END FROM w JOIN v ON v.pid = w.pid AND v.k = w.k + 1)
-  SELECT id, pid FROM w WHERE gone""")
+      w.kept + CASE WHEN w.kept >= 8 AND NOT (t = 3 AND (needed OR w.fulls <= 2)) THEN 0 ELSE 1 END, w.fulls + CASE WHEN t = 3 AND NOT (w.kept >= 8 AND NOT (needed OR w.fulls <= 2)) THEN 1 ELSE 0 END FROM w JOIN v ON v.pid = w.pid AND v.k = w.k + 1)"""
+
+
+@query("o123_max_versions_exact", "version", recursive=True, sql=f"{_RULE2} SELECT id, pid FROM w WHERE gone")
 def _(s):
     return retention.max_versions_rule(s.version, retention.window_rule(s.version, _W), 8, 2)
 
@@ -110,7 +113,9 @@ def _(s):
     return retention.max_journals_rule(s.version, s.version.where("false"), 2)
 
 
-@query("o125_retention", "version")
+@query("o125_retention", "version", recursive=True, sql=f"""{_RULE2}, gone AS (SELECT id, pid, 'window' AS rule FROM rule1 UNION ALL SELECT id, pid, 'versions' FROM w WHERE gone),
+  j AS (SELECT id, pid, row_number() OVER (PARTITION BY base ORDER BY m, id) AS nth, count(*) OVER (PARTITION BY base) AS n FROM version WHERE t = 4 AND base > 0 AND id NOT IN (SELECT id FROM gone))
+  SELECT * FROM gone UNION ALL SELECT id, pid, 'journals' FROM j WHERE n > 2 AND nth <= greatest(n - 2, 2)""")
 def _(s):
     return retention.retention(s.version, _W, 8, 2, 2)
 
