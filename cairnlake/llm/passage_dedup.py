@@ -17,9 +17,8 @@ Paragraphs are of two kinds:
 2. Equal texts repeat as a whole; one of each group takes part in the rest.  Keys found in one text only
    are dropped by an aggregation with partial minima and maxima.
 3. The texts that hold other keys are read again; their paragraphs with such keys go on: text, place, digest
-   of the words, keys.
-4. Paragraphs with equal words are one kind.  Of kinds that share a key with another, one place each is read
-   for its shingles.  Kinds with a key in common are linked where the Jaccard
+   of the words, keys, and the shingles if the key stands for different words (by a 64-bit digest).
+4. Paragraphs with equal words are one kind.  Kinds with a key in common are linked where the Jaccard
    similarity of their shingle sets, compared in full, is PERCENT or more: first with the key's least kind,
    then, in keys whose kinds are not one component by that, among each other in blocks of bounded size.
 5. Components of the links are the clusters; a cluster in two documents or more is a repeat.  The document
@@ -56,6 +55,8 @@ SEGMENT = 4_000_000
 
 _SPAN = WINDOW + SHINGLE - 1
 _TEXT = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LOW = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(20240302).integers(0, 2**63, PICKS, np.uint64)
 _ODD = np.random.default_rng(20240303).integers(0, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,6 +79,7 @@ class Texts:
         self.of = np.repeat(np.arange(len(texts)), self.n)
         self.first = np.cumsum(self.n) - self.n
         self.g = shingles(self.h, SHINGLE)
+        self._prefix = self._inverse = None
         ends_ = np.unique(np.array(ends, np.int64))
         starts = np.concatenate([[0], ends_[:-1]]).astype(np.int64)
         short = (self.n >= LEAST) & (self.n < _SPAN)  # a short text is a paragraph as a whole
@@ -85,17 +87,25 @@ class Texts:
         both = np.column_stack([np.concatenate([starts[long], self.first[short]]), np.concatenate([ends_[long], (self.first + self.n)[short]])])
         self.lines = np.unique(both, axis=0)
 
-    def paragraphs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Keys, starts and ends of all paragraphs, a band at a time."""
+    def paragraphs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys, starts, ends and 64-bit digests of the words of all paragraphs, a band at a time."""
         if len(self.lines):
             edges = np.column_stack([self.lines[:, 0], self.lines[:, 1] - SHINGLE + 1]).ravel()
+            digest = self._digests(self.lines[:, 0], self.lines[:, 1])
             for band, odd in enumerate(_ODD):
                 value = np.append(self.g * odd, np.uint64(0))
                 low, high = np.minimum.reduceat(value, edges)[::2], np.maximum.reduceat(value, edges)[::2]
-                yield mix(mix(low) * _TEXT + mix(high) + np.uint64(band)), self.lines[:, 0], self.lines[:, 1]
+                yield mix(mix(low) * _TEXT + mix(high) + np.uint64(band)), self.lines[:, 0], self.lines[:, 1], digest
         for seed in _SEEDS:
             key, at = self._picks(seed)
-            yield key, at, at + STRETCH
+            yield key, at, at + STRETCH, self._digests(at, at + STRETCH)
+
+    def _digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A polynomial over the words' hashes, from prefix sums."""
+        if self._prefix is None:
+            powers, self._inverse = (np.append(np.uint64(1), np.cumprod(np.full(len(self.h), x, np.uint64))) for x in (_BASE, _INVERSE))
+            self._prefix = np.append(np.uint64(0), np.cumsum(mix(self.h) * powers[:-1]))
+        return mix((self._prefix[end] - self._prefix[start]) * self._inverse[start])
 
     def _picks(self, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """The sliding minimum is built by doubling; of equal hashes the first is picked."""
@@ -117,9 +127,9 @@ class Texts:
         return mix(self.g[at] ^ seed), at
 
 
-def _arrays(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+def _arrays(rows: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
     """One list for each of n rows, of the values with that row number (ascending)."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,73 +143,66 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             read = Texts(batch.column("text").to_pylist())
-            found = [np.column_stack([read.of[at], key.view(np.int64)]) for key, at, _ in read.paragraphs() if len(at)]
-            rows = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            found = [np.column_stack([read.of[at], key.view(np.int64), words.view(np.int64)]) for key, at, _, words in read.paragraphs() if len(at)]
+            rows = np.concatenate([np.zeros((0, 3), np.int64), *found])
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            pairs = pa.StructArray.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["key", "words"])
             held = [batch.column(c) for c in ("doc_id", "k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(read.n), _arrays(rows[:, 0], rows[:, 1], len(read.n))], names=["doc_id", "k1", "k2", "n_words", "keys"])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(read.n), _arrays(rows[:, 0], pairs, len(read.n))], names=["doc_id", "k1", "k2", "n_words", "keys"])
 
-    found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<long>"))
-    each = found.select("k1", "k2", F.explode("keys").alias("key"))
-    shared = materialise(each.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b").select("key"))
-    again = each.join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.collect_set("key").alias("keys"))
+    found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<struct<key:long,words:long>>"))
+    each = found.select("k1", "k2", F.inline("keys"))
+    met = each.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("words").alias("c"), F.max("words").alias("d")).where("a != b")
+    shared = materialise(met.select("key", (F.col("c") != F.col("d")).alias("mixed")))
+    again = each.select("k1", "k2", "key").join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.collect_set(F.struct("key", "mixed")).alias("keys"))
     reps = found.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.min("doc_id").alias("rep"))
-    again = materialise(again.join(reps, ["a1", "a2"]))
-    held = texts.join(bounded_broadcast(again), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("rep", "k1", "k2", "text", "keys")
+    again = again.join(reps, ["a1", "a2"])
+    # Texts meet what is asked of them by a shuffle at every size: what is asked grows with the corpus.
+    held = texts.join(again.hint("shuffle_hash"), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("rep", "k1", "k2", "text", "keys")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             read = Texts(batch.column("text").to_pylist())
             wanted = batch.column("keys")
-            ask = wanted.flatten().to_numpy().view(np.uint64) + np.repeat(np.arange(len(wanted), dtype=np.uint64), np.diff(wanted.offsets.to_numpy())) * _TEXT
+            asked = wanted.flatten()
+            ask = asked.field("key").to_numpy().view(np.uint64) + np.repeat(np.arange(len(wanted), dtype=np.uint64), np.diff(wanted.offsets.to_numpy())) * _TEXT
+            order = np.argsort(ask)
+            ask, mixed = ask[order], asked.field("mixed").to_numpy(zero_copy_only=False)[order]
             parts = []
-            for key, start, end in read.paragraphs():
-                hit = np.isin(key + read.of[start].astype(np.uint64) * _TEXT, ask)
-                parts.append(np.column_stack([start[hit], end[hit], key[hit].view(np.int64)]))
+            for key, start, end, _ in read.paragraphs():
+                of = key + read.of[start].astype(np.uint64) * _TEXT
+                at = np.minimum(np.searchsorted(ask, of), len(ask) - 1)
+                hit = ask[at] == of
+                parts.append(np.column_stack([start[hit], end[hit], key[hit].view(np.int64), mixed[at[hit]]]))
             rows = np.concatenate(parts)
             if len(rows):
                 rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
                 new = np.append(True, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1))
-                spans, at = rows[new, :2], np.append(np.flatnonzero(new), len(rows))
+                first = np.flatnonzero(new)
+                spans, at = rows[new, :2], np.append(first, len(rows))
                 kinds = [hashlib.blake2b(read.h[x:y].tobytes(), digest_size=12).digest() for x, y in spans.tolist()]
+                low, several = read.g.astype(np.uint32).view(np.int32), np.maximum.reduceat(rows[:, 3], first)
+                sets = [np.unique(low[x : y - SHINGLE + 1]) if z else None for (x, y), z in zip(spans.tolist(), several.tolist())]
                 text = read.of[spans[:, 0]]
                 of = [batch.column(c).take(pa.array(text)) for c in ("rep", "k1", "k2")]
                 place = (spans - read.first[text, None]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(kinds, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(rows[:, 2]))], names=["rep", "k1", "k2", "place", "end", "kind", "keys"])
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(rows[:, 2])), pa.array(sets, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(kinds, pa.binary()), *lists], names=["rep", "k1", "k2", "place", "end", "kind", "keys", "shingles"])
 
-    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind binary, keys array<long>"))
+    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind binary, keys array<long>, shingles array<int>"))
     # Kinds get numbers, so that what follows aggregates and joins on whole numbers.
-    numbers = materialise(places.select("kind").distinct().select("kind", F.monotonically_increasing_id().alias("kid")))
-    places = materialise(places.join(numbers, "kind").select("rep", "k1", "k2", "place", "end", "kid", "keys"))
+    kinds = places.groupBy("kind").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).select("kind", F.monotonically_increasing_id().alias("kid"), "low", "high")
+    kinds = materialise(kinds)
+    numbers = kinds.select("kind", "kid")
+    sets = places.where("shingles IS NOT NULL").select("kind", "shingles").join(numbers, "kind").groupBy(F.col("kid").alias("rep")).agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets.select("rep", F.size("shingles").alias("n"), "shingles"))
+    places = materialise(places.select("k1", "k2", "rep", "place", "end", "kind", "keys").join(numbers, "kind").select("k1", "k2", "rep", "place", "end", "kid", "keys"))
     met = shared_keys(places.select(F.explode("keys").alias("key"), F.col("kid").alias("rep")).distinct())
-    sets = materialise(_shingle_sets(texts, places, met, kind))
     roots = materialise(connected_components(verified_links(met, sets, PERCENT)).select(F.col("node").alias("kid"), "root"))
-    seen = materialise(places.join(roots, "kid", "left").select("rep", "k1", "k2", "place", "end", F.coalesce("root", "kid").alias("cluster")))
-    clusters = seen.groupBy("cluster").agg(F.min("rep").alias("first_doc_id"), F.max("rep").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
-    return found.select("doc_id", "k1", "k2", "n_words").distinct(), seen.join(materialise(clusters), "cluster")
-
-
-def _shingle_sets(texts: DataFrame, places: DataFrame, met: DataFrame, kind: str) -> DataFrame:
-    """(rep, n, shingles) of the kinds that share a key with others, read from one place of each."""
-    wanted = materialise(met.select(F.explode(F.array("rep", "hub")).alias("kid")).distinct())
-    some = places.join(wanted, "kid").select("kid", "rep", "k1", "k2", "place", "end")
-    some = some.join(some.groupBy("kid").agg(F.min("k1").alias("k1")), ["kid", "k1"])
-    asked = materialise(some.groupBy("rep", F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.collect_list(F.struct("kid", "place", "end")).alias("places")))
-    held = texts.join(bounded_broadcast(asked), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("text", "places")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            of = Texts(batch.column("text").to_pylist())
-            low = of.g.astype(np.uint32).view(np.int32)
-            asked = batch.column("places")
-            ends, rows = asked.offsets.to_numpy(), asked.flatten()
-            base = np.repeat(of.first, np.diff(ends))
-            start, end = rows.field("place").to_numpy() + base, rows.field("end").to_numpy() + base
-            sets = [np.unique(low[a : b - SHINGLE + 1]) for a, b in zip(start.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays([rows.field("kid"), pa.array(sets, pa.list_(pa.int32()))], names=["kid", "shingles"])
-
-    made = held.mapInArrow(read, "kid long, shingles array<int>").groupBy(F.col("kid").alias("rep")).agg(F.first("shingles").alias("shingles"))
-    return made.select("rep", F.size("shingles").alias("n"), "shingles")
+    named = materialise(kinds.join(roots, "kid", "left").select("kid", "low", "high", F.coalesce("root", "kid").alias("cluster")))
+    clusters = named.groupBy("cluster").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
+    first = materialise(named.join(clusters, "cluster").select("kid", "cluster", "first_doc_id"))
+    return found.select("doc_id", "k1", "k2", "n_words").distinct(), places.select("k1", "k2", "rep", "place", "end", "kid").join(first, "kid").drop("kid")
 
 
 def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -283,6 +283,15 @@ def test_repeated_lines_of_the_tables(spark, docs):
     assert all(r.n_removed_words <= r.n_repeat_words <= len(texts[i].split()) for i, r in got.items())
 
 
+def test_paragraph_digests_depend_on_the_words_alone():
+    line = " ".join(words(40, 7))
+    one, two = passage_dedup.Texts([line]), passage_dedup.Texts([" ".join(words(90, 8)) + "\n" + line + "\nand more", None, "short"])
+    of = [{(int(key), int(d)) for keys, start, end, digest in t.paragraphs() for key, a, b, d in zip(keys, start, end, digest) if b - a == 40} for t in (one, two)]
+    assert of[0] == of[1] and len(of[0]) == passage_dedup.BANDS
+    stretch = [{int(d) for keys, start, end, digest in t.paragraphs() for a, b, d in zip(start, end, digest) if b - a == 24} for t in (one, two)]
+    assert stretch[0] and stretch[0] <= stretch[1]
+
+
 def test_repeats_of_short_texts(spark):
     rows = [(10 * n + k, " ".join(words(n, n))) for n in range(18, 28) for k in range(2)]
     got = {r.doc_id: r.n_removed_words for r in passage_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
