@@ -18,7 +18,8 @@ aside first, without losing any:
    followed by something else) is dealt into blocks of about GROUP, and every two blocks meet in a
    task of their own.  Beyond BLOCKS blocks, where pairs of blocks would cost more than they save,
    the windows are dealt by 128-bit fingerprint, which is counted with partial aggregation.
-5. Spans return to the texts by the MD5 of the text.
+5. Spans return to the texts by the MD5 of the text.  Texts are read twice more, each time through a shuffle:
+   nothing that grows with the texts is broadcast.
 
 Texts that repeat as a whole are removed whole if they have LENGTH bytes.
 
@@ -229,8 +230,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = materialise(keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, h long, times int"))
     twice = materialise(found.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("times").alias("times")).where("a != b OR times > 1").select("h"))
     again = found.join(bounded_broadcast(twice), "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hashes"))
-    again = materialise(again.join(copies, ["k1", "k2"]).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "rep", "hashes"))
-    held = keyed.join(bounded_broadcast(again), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    again = again.join(copies, ["k1", "k2"]).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "rep", "hashes")
+    # What is asked of a text is as long as the text at worst, so texts meet it by a shuffle at every size.
+    held = keyed.join(again.hint("shuffle_hash"), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -287,7 +289,7 @@ def remove_repeats(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     and kept (the other bytes, joined) of each document."""
     spans = materialise(repeated_spans(docs.select("doc_id", "text")))
     keyed = docs.select((F.struct("*") if carry is None else carry).alias("row"), "text", *text_keys(F.col("text")))
-    met = keyed.join(bounded_broadcast(spans), ["k1", "k2"], "left").select("row", "text", "whole", "spans")
+    met = keyed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "whole", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
