@@ -17,8 +17,8 @@ Paragraphs are of two kinds:
 2. Equal texts repeat as a whole; one of each group takes part in the rest.  Keys found in one text only
    are dropped by an aggregation with partial minima and maxima.
 3. The texts that hold other keys are read again; their paragraphs with such keys go on: text, place, digest
-   of the words, keys, and the shingles if the key stands for different words (by a 64-bit digest).
-4. Paragraphs with equal words are one kind.  Kinds with a key in common are linked where the Jaccard
+   of the words, keys, and the shingles if a key stands for different words.
+4. Paragraphs with equal words, by a 64-bit digest, are one kind.  Kinds with a key in common are linked where the Jaccard
    similarity of their shingle sets, compared in full, is PERCENT or more: first with the key's least kind,
    then, in keys whose kinds are not one component by that, among each other in blocks of bounded size.
 5. Components of the links are the clusters; a cluster in two documents or more is a repeat.  The document
@@ -32,7 +32,6 @@ rows; very long texts are read alone and whole.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -151,12 +150,12 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*held, pa.array(read.n), _arrays(rows[:, 0], pairs, len(read.n))], names=["doc_id", "k1", "k2", "n_words", "keys"])
 
     found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<struct<key:long,words:long>>"))
-    each = found.select("k1", "k2", F.inline("keys"))
+    each = found.select("k1", F.inline("keys"))
     met = each.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("words").alias("c"), F.max("words").alias("d")).where("a != b")
     shared = materialise(met.select("key", (F.col("c") != F.col("d")).alias("mixed")))
-    again = each.select("k1", "k2", "key").join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.collect_set(F.struct("key", "mixed")).alias("keys"))
+    again = each.select("k1", "key").join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1")).agg(F.collect_set(F.struct("key", "mixed")).alias("keys"))
     reps = found.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.min("doc_id").alias("rep"))
-    again = again.join(reps, ["a1", "a2"])
+    again = again.join(reps, "a1")
     # Texts meet what is asked of them by a shuffle at every size: what is asked grows with the corpus.
     held = texts.join(again.hint("shuffle_hash"), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("rep", "k1", "k2", "text", "keys")
 
@@ -169,40 +168,35 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             order = np.argsort(ask)
             ask, mixed = ask[order], asked.field("mixed").to_numpy(zero_copy_only=False)[order]
             parts = []
-            for key, start, end, _ in read.paragraphs():
+            for key, start, end, words in read.paragraphs():
                 of = key + read.of[start].astype(np.uint64) * _TEXT
                 at = np.minimum(np.searchsorted(ask, of), len(ask) - 1)
                 hit = ask[at] == of
-                parts.append(np.column_stack([start[hit], end[hit], key[hit].view(np.int64), mixed[at[hit]]]))
+                parts.append(np.column_stack([start[hit], end[hit], key[hit].view(np.int64), mixed[at[hit]], words[hit].view(np.int64)]))
             rows = np.concatenate(parts)
             if len(rows):
                 rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
                 new = np.append(True, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1))
                 first = np.flatnonzero(new)
                 spans, at = rows[new, :2], np.append(first, len(rows))
-                kinds = [hashlib.blake2b(read.h[x:y].tobytes(), digest_size=12).digest() for x, y in spans.tolist()]
                 low, several = read.g.astype(np.uint32).view(np.int32), np.maximum.reduceat(rows[:, 3], first)
                 sets = [np.unique(low[x : y - SHINGLE + 1]) if z else None for (x, y), z in zip(spans.tolist(), several.tolist())]
                 text = read.of[spans[:, 0]]
                 of = [batch.column(c).take(pa.array(text)) for c in ("rep", "k1", "k2")]
                 place = (spans - read.first[text, None]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(rows[:, 2])), pa.array(sets, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(kinds, pa.binary()), *lists], names=["rep", "k1", "k2", "place", "end", "kind", "keys", "shingles"])
-
-    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind binary, keys array<long>, shingles array<int>"))
-    # Kinds get numbers, so that what follows aggregates and joins on whole numbers.
-    kinds = places.groupBy("kind").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).select("kind", F.monotonically_increasing_id().alias("kid"), "low", "high")
-    kinds = materialise(kinds)
-    numbers = kinds.select("kind", "kid")
-    sets = places.where("shingles IS NOT NULL").select("kind", "shingles").join(numbers, "kind").groupBy(F.col("kid").alias("rep")).agg(F.first("shingles").alias("shingles"))
+                yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(rows[new, 4]), *lists], names=["rep", "k1", "k2", "place", "end", "kind", "keys", "shingles"])
+
+    places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind long, keys array<long>, shingles array<int>"))
+    sets = places.where("shingles IS NOT NULL").groupBy(F.col("kind").alias("rep")).agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets.select("rep", F.size("shingles").alias("n"), "shingles"))
-    places = materialise(places.select("k1", "k2", "rep", "place", "end", "kind", "keys").join(numbers, "kind").select("k1", "k2", "rep", "place", "end", "kid", "keys"))
-    met = shared_keys(places.select(F.explode("keys").alias("key"), F.col("kid").alias("rep")).distinct())
-    roots = materialise(connected_components(verified_links(met, sets, PERCENT)).select(F.col("node").alias("kid"), "root"))
-    named = materialise(kinds.join(roots, "kid", "left").select("kid", "low", "high", F.coalesce("root", "kid").alias("cluster")))
+    met = shared_keys(places.where("shingles IS NOT NULL").select(F.explode("keys").alias("key"), F.col("kind").alias("rep")).distinct())
+    roots = materialise(connected_components(verified_links(met, sets, PERCENT)).select(F.col("node").alias("kind"), "root"))
+    kinds = places.groupBy("kind").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    named = materialise(kinds.join(roots, "kind", "left").select("kind", "low", "high", F.coalesce("root", "kind").alias("cluster")))
     clusters = named.groupBy("cluster").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
-    first = materialise(named.join(clusters, "cluster").select("kid", "cluster", "first_doc_id"))
-    return found.select("doc_id", "k1", "k2", "n_words").distinct(), places.select("k1", "k2", "rep", "place", "end", "kid").join(first, "kid").drop("kid")
+    first = materialise(named.join(clusters, "cluster").select("kind", "cluster", "first_doc_id"))
+    return found.select("doc_id", "k1", "k2", "n_words").distinct(), places.select("k1", "k2", "rep", "place", "end", "kind").join(first, "kind").drop("kind")
 
 
 def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
