@@ -3,9 +3,10 @@
 The index holds, for each licence template, its rarest words: document frequencies of all template
 words are counted over the whole corpus, and the words with the highest IDF get postings (template,
 position, weight).  A document's rare words are looked up; each posting votes for the start that the
-template would have in the document, and only where the template's mandatory key phrase stands at
-its place from that start.  Votes are summed per (document, template, start); the best start of a
-template gives its score, the matched share of the template's weight.
+template would have in the document, and only where the template's mandatory key phrase stands at its
+place from that start, give or take SLACK words.  Votes whose starts lie within SLACK words are summed,
+each word of the template once; the best start of a template gives its score, the matched share of the
+template's weight.  Templates are paragraphs of licences and their short notices.
 
 Base labels come from fixed phrases and always stay.
 
@@ -164,7 +165,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     whole = F.struct(F.lit(-1).alias("template"), F.lit(0).alias("position"), F.lit(0).alias("start"), F.lit(0).alias("weight"))
     votes = rows.select("rid", F.struct("doc_id", "r.n_words", "r.places").alias("doc"), F.inline(F.concat(F.array(whole), F.coalesce("r.votes", none))))
     # Starts up to SLACK apart fall into one stretch of 2 * SLACK words of one of two rows of stretches.
-    stretch = F.explode(F.array(*[F.struct(F.lit(g).alias("row"), F.floor((F.col("start") + g * SLACK) / (2 * SLACK)).alias("at")) for g in (0, 1)]))
+    places = [F.struct(F.lit(g).alias("row"), F.floor((F.col("start") + g * SLACK) / (2 * SLACK)).alias("at")) for g in (0, 1)]
+    stretch = F.explode(F.when(F.col("template") < 0, F.array(places[0])).otherwise(F.array(*places)))
     votes = votes.select("rid", F.when(F.col("template") < 0, F.col("doc")).alias("doc"), "template", "position", "weight", stretch.alias("stretch"))
     words = votes.groupBy("rid", "template", "stretch", "position").agg(F.first("doc", ignorenulls=True).alias("doc"), F.max("weight").alias("weight"))
     starts = words.groupBy("rid", "template", "stretch").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("weight").alias("weight"))

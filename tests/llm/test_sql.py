@@ -184,6 +184,40 @@ def test_urls(spark, compare):
     assert got[10] == ("u@h.net:80", "/a", None)
 
 
+def test_domains_below_long_suffixes_and_addresses(spark, compare):
+    hosts = {"a.shop.co.uk": ("co.uk", "shop.co.uk"), "co.uk": ("co.uk", "co.uk"), "www.x.com": ("com", "x.com"), "10.0.0.7:80": ("ip", "10.0.0.7"), "u@[::1]:8": ("ip", "[::1]"), "localhost": ("localhost", "localhost")}
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    compare(url_reputation.digest(pages, labels), url_reputation.SQL, pages=pages, labels=labels)
+    outcomes = labels.selectExpr("doc_id AS page_id", "1 - quality AS bad")
+    known = url_reputation.host_reputation(pages.select("page_id", url_reputation.url_host(pages.url).alias("host")), outcomes)
+    assert {r.host: (r.suffix, r.domain) for r in known.collect()} == hosts
+
+
+def test_judged_pages_keep_clashing_columns(spark):
+    names = ["row", "host", "path", "rule", "verdict", "suffix", "domain", "n", "bad", "rho"]
+    pages = spark.createDataFrame([(1, "http://x.com/", *names), (None, None, *[None] * len(names))], "page_id long, url string, " + ", ".join(f"{x} string" for x in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = url_reputation.judge_pages(pages, labels).select("row.*")
+    assert got.columns == pages.columns and {r.host for r in got.collect()} == {"host", None}
+
+
+def test_licence_paragraphs_with_changed_words(spark, compare):
+    rows, want = [], {}
+    for t, (label, text, phrase) in enumerate(license_scan.TEMPLATES):
+        at = license_scan.phrase_place(text, phrase)
+        words = text.split()
+        moved = words[:at] + ["stray"] * 2 + words[at:] if at > 3 else words  # words before the phrase displace it
+        rows += [(2 * t, " ".join(["lead"] * 9 + words)), (2 * t + 1, "x " + " ".join(moved).upper())]
+        want[2 * t] = want[2 * t + 1] = label
+    rows.append((999, "the software is provided under a licence of any kind to any person"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.digest(docs)
+    assert all(want[r.doc_id] in r.labels.split(",") for r in got.collect() if r.doc_id < 999)
+    assert got.where("doc_id = 999").first().labels == ""
+    compare(got, license_scan.SQL, documents=docs)
+
+
 def test_bad_hosts_are_blocked(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i < 60 else 'h' + str(i % 9)}.site.net/p") for i in range(300)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if i < 60 or i % 20 == 0 else 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
