@@ -17,7 +17,7 @@ Paragraphs are of two kinds:
 2. Equal texts repeat as a whole; one of each group takes part in the rest.  Keys found in one text only
    are dropped by an aggregation with partial minima and maxima.
 3. The texts that hold other keys are read again; their paragraphs with such keys go on: text, place, digest
-   of the words, keys, and the shingles if a key stands for different words.
+   of the words, keys, and the shingles if a key stands for different words (by 32 bits of their digest).
 4. Paragraphs with equal words, by a 64-bit digest, are one kind.  Kinds with a key in common are linked where the Jaccard
    similarity of their shingle sets, compared in full, is PERCENT or more: first with the key's least kind,
    then, in keys whose kinds are not one component by that, among each other in blocks of bounded size.
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, slices, small_batches, text_keys
+from .common import bounded_broadcast, materialise, release, shared_dir, slices, small_batches, text_keys
 from .components import connected_components
 from .minhash import hash_word, mix, shared_keys, shingles, verified_links
 
@@ -145,16 +145,18 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             found = [np.column_stack([read.of[at], key.view(np.int64), words.view(np.int64)]) for key, at, _, words in read.paragraphs() if len(at)]
             rows = np.concatenate([np.zeros((0, 3), np.int64), *found])
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            pairs = pa.StructArray.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["key", "words"])
+            pairs = pa.StructArray.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["key", "words"])
             held = [batch.column(c) for c in ("doc_id", "k1", "k2")]
             yield pa.RecordBatch.from_arrays([*held, pa.array(read.n), _arrays(rows[:, 0], pairs, len(read.n))], names=["doc_id", "k1", "k2", "n_words", "keys"])
 
-    found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<struct<key:long,words:long>>"))
+    path = shared_dir(docs.sparkSession)
+    found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<struct<key:long,words:int>>"), path)
+    of = materialise(found.select("doc_id", "k1", "k2", "n_words").distinct())
     each = found.select("k1", F.inline("keys"))
     met = each.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("words").alias("c"), F.max("words").alias("d")).where("a != b")
     shared = materialise(met.select("key", (F.col("c") != F.col("d")).alias("mixed")))
     again = each.select("k1", "key").join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1")).agg(F.collect_set(F.struct("key", "mixed")).alias("keys"))
-    reps = found.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.min("doc_id").alias("rep"))
+    reps = of.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.min("doc_id").alias("rep"))
     again = again.join(reps, "a1")
     # Texts meet what is asked of them by a shuffle at every size: what is asked grows with the corpus.
     held = texts.join(again.hint("shuffle_hash"), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("doc_id") == F.col("rep"))).select("rep", "k1", "k2", "text", "keys")
@@ -188,6 +190,7 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(rows[new, 4]), *lists], names=["rep", "k1", "k2", "place", "end", "kind", "keys", "shingles"])
 
     places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind long, keys array<long>, shingles array<int>"))
+    release(docs.sparkSession, path)  # all keys: read for the last time
     sets = places.where("shingles IS NOT NULL").groupBy(F.col("kind").alias("rep")).agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets.select("rep", F.size("shingles").alias("n"), "shingles"))
     met = shared_keys(places.where("shingles IS NOT NULL").select(F.explode("keys").alias("key"), F.col("kind").alias("rep")).distinct())
@@ -196,7 +199,7 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = materialise(kinds.join(roots, "kind", "left").select("kind", "low", "high", F.coalesce("root", "kind").alias("cluster")))
     clusters = named.groupBy("cluster").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last")).where("first_doc_id != last").select("cluster", "first_doc_id")
     first = materialise(named.join(clusters, "cluster").select("kind", "cluster", "first_doc_id"))
-    return found.select("doc_id", "k1", "k2", "n_words").distinct(), places.select("k1", "k2", "rep", "place", "end", "kind").join(first, "kind").drop("kind")
+    return of, places.select("k1", "k2", "rep", "place", "end", "kind").join(first, "kind").drop("kind")
 
 
 def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,7 +218,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     (maximal runs of words, start and end), removed (those parts that go), first_doc_ids (documents that
     keep them).  Of equal texts of LEAST words the one of least id stays, but for what others keep of it."""
     of, paragraphs = repeated_paragraphs(docs)
-    of = materialise(of)
     span = F.struct(F.col("place").alias("start"), "end")
     gone = F.collect_set(F.when(F.col("rep") != F.col("first_doc_id"), span))
     per = materialise(paragraphs.groupBy("k1", "k2").agg(F.collect_set(span).alias("places"), gone.alias("gone"), F.collect_set("first_doc_id").alias("firsts")))
