@@ -8,11 +8,13 @@ still isolate a document that departs from it; a branch without training rows is
 
 The forest judges what the base rule lets pass.  So it is fitted on good labelled rows that pass, and
 the threshold is calibrated on all labelled rows that pass: the score that best separates good from
-bad ones, but never one that drops more than ``LEAST_KEPT`` allows of the good ones.  Fitting uses at most ``FIT_ROWS`` labelled rows, in expectation, chosen by a
-hash of the id (the documented bound); everything else runs over whole texts of all rows.
+bad ones, but never one that drops more than ``LEAST_KEPT`` allows of the good ones.  Ranges and the
+threshold come from every labelled row, by aggregations; each tree draws its ``SUBSAMPLE`` rows, which
+is the method's own, from all good ones by a hash.
 
-One pass over the documents in Arrow batches computes statistics and scores; no shuffle.  The fit
-reads the labelled rows of the sample in a pass before.
+One pass over the documents in Arrow batches computes the statistics, whose small rows are written to
+the shared folder; labels meet them by a join, so no text is shuffled or read twice.  The driver holds
+the rows that the trees draw, whatever the number of labels.
 
 Defined cases: null or wordless text has zero counts and fails the base rule; null labels and labels
 of unknown documents are ignored; without labelled rows of both kinds the forest drops nothing;
@@ -26,17 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, slices, small_batches
+from .common import materialise, slices, small_batches
 from .minhash import hash_word, shingles
 
-#: Labelled rows that the forest is fitted and calibrated on, in expectation.
-FIT_ROWS = 20_000
 TREES, SUBSAMPLE, SEED = 100, 256, 7
 #: Share of good labelled rows that the threshold must keep.
 LEAST_KEPT = 0.995
+#: Ranges of scores that are summed up apart while the threshold is sought.
+RANGES = 4096
 #: Base rule: fewest words, and percent of words in repeated windows that fails a document.
 MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -97,14 +99,16 @@ def expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def fit_forest(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Arrays (tree, node) of complete binary trees: feature (-1 in leaves), split, path length of leaves."""
-    depth = math.ceil(math.log2(max(2, min(subsample, len(rows)))))
+def fit_forest(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED, drawn: tuple[np.ndarray, int] | None = None) -> dict[str, np.ndarray]:
+    """Arrays (tree, node) of complete binary trees: feature (-1 in leaves), split, path length of leaves.
+    Each tree draws from ``rows``; or ``drawn`` has the tree of each row, in order, and of how many rows they are."""
+    of, n = drawn or (None, len(rows))
+    depth = math.ceil(math.log2(max(2, min(subsample, n))))
     size = 2 ** (depth + 1) - 1
     feature, split, path = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     rng = np.random.default_rng(seed)
     for t in range(trees):
-        pick = rows[rng.permutation(len(rows))[:subsample]]
+        pick = rows[rng.permutation(n) if of is None else of == t][:subsample]
         todo = [(0, 0, pick, low.copy(), high.copy())]
         while todo:
             node, d, part, lo, hi = todo.pop()
@@ -119,7 +123,7 @@ def fit_forest(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int =
             lo2, hi2 = lo.copy(), hi.copy()
             hi2[f], lo2[f] = s, s
             todo += [(2 * node + 1, d + 1, part[left], lo, hi2), (2 * node + 2, d + 1, part[~left], lo2, hi)]
-    return {"feature": feature, "split": split, "path": path, "norm": np.array(float(expected_path(min(subsample, max(len(rows), 2)))) or 1.0)}
+    return {"feature": feature, "split": split, "path": path, "norm": np.array(float(expected_path(min(subsample, max(n, 2)))) or 1.0)}
 
 
 def score_forest(forest: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -150,52 +154,99 @@ def calibrate(scores: np.ndarray, good: np.ndarray, least_kept: float = LEAST_KE
     return float((cuts[best] + cuts[best + 1]) / 2) if best + 1 < len(cuts) else float(cuts[best])
 
 
-def _stat_batches(batches: Iterator[pa.RecordBatch], score=None) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        stats = np.array([rule_statistics(x.as_py()) for x in batch.column("text")], np.int64).reshape(-1, len(STATS))
-        held = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        names = [x for x in batch.schema.names if x != "text"]
-        extra, extra_names = [pa.array(c) for c in stats.T], [*STATS]
-        if score:
-            extra.append(pa.array(score(stats)))
-            extra_names.append("score")
-        yield pa.RecordBatch.from_arrays([*held, *extra], names=[*names, *extra_names])
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, np.ndarray] | None, float]:
-    """Forest and threshold from a sample of labelled rows: at most ``fit_rows`` in expectation."""
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of STATS of every document, materialised."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(parts):
+            stats = np.array([rule_statistics(x.as_py()) for x in batch.column("text")], np.int64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, stats.T)], names=["doc_id", *STATS])
+
     small_batches(docs.sparkSession)
-    said = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = said.count()
-    part = said.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, fit_rows / max(n, 1))))
-    part = materialise(part.select(F.col("doc_id").alias("id"), "quality"))
-    labelled = docs.select("doc_id", "text").join(bounded_broadcast(part), F.col("doc_id") == F.col("id")).select("quality", "text")
-    schema = "quality int, " + ", ".join(f"{x} long" for x in STATS)
-    got = labelled.select(F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_stat_batches, schema).where(~base_failed()).toPandas()
-    if not len(got):
+    kind = dict(docs.dtypes)["doc_id"]
+    return materialise(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in STATS)))
+
+
+def _with(df: DataFrame, names: dict[str, str], values) -> DataFrame:
+    """``df`` with columns of these names and types, which ``values`` works out from arrays of each batch."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, values(part))], names=[*part.schema.names, *names])
+
+    return df.mapInArrow(batches, ", ".join(f"{a} {b}" for a, b in [*df.dtypes, *names.items()]))
+
+
+def _matrix(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.column_stack([batch.column(x).to_numpy(zero_copy_only=False) for x in names])
+
+
+def calibrate_rows(scored: DataFrame, least_kept: float = LEAST_KEPT) -> float:
+    """What ``calibrate`` gives for the rows (score, good) of a table, without collecting them: counts by
+    distinct score, summed up within ranges of scores to which the counts of lower ranges are added."""
+    counts = scored.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
+    counts = materialise(counts.withColumn("range", F.floor(F.col("score") * RANGES)))
+    ranges = counts.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("range").collect()  # RANGES rows at most
+    n_good, n_bad = sum(r["good"] for r in ranges), sum(r["bad"] for r in ranges)
+    if not n_good or not n_bad:
+        return math.inf
+    below, good, bad = [], 0, 0
+    for r in ranges:
+        below.append((r["range"], good, bad))
+        good, bad = good + r["good"], bad + r["bad"]
+    below = counts.sparkSession.createDataFrame(below, "range long, good_below long, bad_below long")
+    upward = Window.partitionBy("range").orderBy("score")
+    cuts = counts.join(F.broadcast(below), "range").select("score", (F.col("good_below") + F.sum("good").over(upward)).alias("g"), (F.col("bad_below") + F.sum("bad").over(upward)).alias("b"))
+    cuts = cuts.select("score", (F.col("g") / n_good).alias("kept_good"), (F.col("b") / n_bad).alias("kept_bad")).where(F.col("kept_good") >= least_kept)
+    best = cuts.orderBy((F.col("kept_good") - F.col("kept_bad")).desc(), "score").first()["score"]
+    after = counts.where(F.col("score") > best).agg(F.min("score")).first()[0]
+    return best if after is None else (best + after) / 2
+
+
+def fit_statistics(stats: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray] | None, float]:
+    """Forest and threshold from the statistics of all labelled rows."""
+    said = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.min("quality") == 1).alias("good"))
+    labelled = stats.where(~base_failed()).join(said, F.col("doc_id") == F.col("id")).select("good", F.xxhash64("doc_id", *STATS).alias("h"), *STATS)
+    rows = materialise(_with(labelled, dict.fromkeys(FEATURES, "double"), lambda batch: features(_matrix(batch, STATS)).T).select("good", "h", *FEATURES))
+    bounds = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("n_good"), *[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in FEATURES]).first()
+    n, n_good = bounds["n"], bounds["n_good"]
+    if not n:
         return None, math.inf
-    order = np.lexsort(got.to_numpy().T)  # rows come in any order: the fit must not depend on it
-    rows, good = features(got[list(STATS)].to_numpy()[order]), got["quality"].to_numpy()[order] == 1
-    forest = fit_forest(rows[good] if good.any() else rows, rows.min(axis=0), rows.max(axis=0))
-    return forest, calibrate(score_forest(forest, rows), good)
+    low, high = (np.array([bounds[f"{f}_{x}"] for x in FEATURES]) for f in ("min", "max"))
+    n_from = n_good or n
+    source, most = rows.where("good") if n_good else rows, 2 * SUBSAMPLE
+    if n_from <= most:
+        forest = fit_forest(source.select(*FEATURES).toPandas().sort_values([*FEATURES]).to_numpy(), low, high)
+    else:  # a tree draws the rows of least hash; twice as many as it needs come, in expectation
+        least = F.lit(-(2**63) + int(most / n_from * 2**64))
+        draws = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("h", t, F.lit(SEED)).alias("draw")))
+        drawn = source.select(F.inline(F.filter(draws, lambda x: x["draw"] < least)), *FEATURES).toPandas()
+        drawn = drawn.sort_values(["tree", "draw", *FEATURES])  # rows come in any order: the fit must not depend on it
+        forest = fit_forest(drawn[list(FEATURES)].to_numpy(), low, high, drawn=(drawn["tree"].to_numpy(), n_from))
+    scored = _with(rows.select("good", *FEATURES), {"score": "double"}, lambda batch: [score_forest(forest, _matrix(batch, FEATURES))])
+    return forest, calibrate_rows(scored.select("score", "good"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray] | None, float]:
+    """Forest and threshold from all labelled documents."""
+    return fit_statistics(statistics(docs), labels)
+
+
+def score_statistics(stats: DataFrame, forest: dict[str, np.ndarray] | None) -> DataFrame:
+    """The rows of ``statistics`` with their score."""
+    return _with(stats, {"score": "double"}, lambda batch: [score_forest(forest, features(_matrix(batch, STATS))) if forest else np.zeros(batch.num_rows)])
 
 
 def score_documents(docs: DataFrame, forest: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id, the counts of STATS, score."""
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _stat_batches(parts, lambda stats: score_forest(forest, features(stats)) if forest else np.zeros(len(stats)))
-
-    small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in STATS) + ", score double")
+    return score_statistics(statistics(docs), forest)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    forest, threshold = fit(docs, labels)
-    scored = score_documents(docs, forest).withColumn("base_failed", base_failed())
+    stats = statistics(docs)
+    forest, threshold = fit_statistics(stats, labels)
+    scored = score_statistics(stats, forest).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.col("score") <= F.lit(float(threshold)))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")

@@ -114,6 +114,30 @@ def test_threshold():
     assert quality.calibrate(scores, np.ones(5, bool)) == np.inf
 
 
+def test_fit_uses_every_labelled_row(spark):
+    """More rows than the sample that the fit once took, and a threshold that each of them decides."""
+    words = F.transform(F.sequence(F.lit(1), (F.col("id") % 17 + 52).cast("int")), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(9000)).cast("string")))
+    few = spark.range(22_000).select(F.col("id").alias("doc_id"), F.concat(F.array_join(words, " "), F.repeat(F.lit(" #$%"), (F.col("id") % 11).cast("int"))).alias("text"))
+    labels = few.select("doc_id", F.when(F.col("doc_id") % 11 > F.pmod(F.xxhash64("doc_id"), F.lit(14)), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    forest, threshold = quality.fit(few, labels)
+    rows = few.join(labels, "doc_id").collect()
+    stats = np.array([quality.rule_statistics(r.text) for r in rows], np.int64)
+    assert len(rows) == 22_000 and (stats[:, 0] >= quality.MIN_WORDS).all()
+    scores, good = quality.score_forest(forest, quality.features(stats)), np.array([r.quality == 1 for r in rows])
+    assert threshold == quality.calibrate(scores, good)
+    assert {r.doc_id: r.kept for r in quality.digest(few, labels).collect()} == {r.doc_id: bool(x <= threshold) for r, x in zip(rows, scores)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_of_a_table_is_that_of_its_rows(spark, seed):
+    rng = np.random.default_rng(seed)
+    good = rng.random(600) < 0.7
+    scores = np.round(np.clip(rng.normal(np.where(good, 0.45, 0.6), 0.06), 0.01, 1), 3)
+    table = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "score double, good boolean")
+    assert quality.calibrate_rows(table) == quality.calibrate(scores, good)
+    assert quality.calibrate_rows(table.where("good")) == np.inf
+
+
 # -- near duplicates
 
 def plain_components(rows, k, percent):
