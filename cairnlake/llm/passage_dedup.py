@@ -15,7 +15,7 @@ Paragraphs are of two kinds:
 
 1. One pass in Arrow batches finds the keys of all paragraphs, and a digest of each text.
 2. Equal texts repeat as a whole; one of each group takes part in the rest.  Keys found in one text only
-   are dropped by an aggregation with partial minima and maxima.
+   are dropped by minima and maxima over the rows of a key, which spill where a key has many.
 3. The texts that hold other keys are read again; their paragraphs with such keys go on: text, place, digest
    of the words, keys, and the shingles if a key stands for different words (by 32 bits of their digest).
 4. Paragraphs with equal words, by a 64-bit digest, are one kind.  Kinds with a key in common are linked where the Jaccard
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, materialise, release, shared_dir, slices, small_batches, text_keys
@@ -153,9 +153,12 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(texts.mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long, n_words long, keys array<struct<key:long,words:int>>"), path)
     of = materialise(found.select("doc_id", "k1", "k2", "n_words").distinct())
     each = found.select("k1", F.inline("keys"))
-    met = each.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("words").alias("c"), F.max("words").alias("d")).where("a != b")
-    shared = materialise(met.select("key", (F.col("c") != F.col("d")).alias("mixed")))
-    again = each.select("k1", "key").join(bounded_broadcast(shared), "key").groupBy(F.col("k1").alias("a1")).agg(F.collect_set(F.struct("key", "mixed")).alias("keys"))
+    # One shuffle of all keys: the rows that share a key, and not another join, say whether texts or words differ.
+    alike = Window.partitionBy("key")
+    met = each.select("k1", "key", *[f(c).over(alike).alias(f"{f.__name__}_{c}") for c in ("k1", "words") for f in (F.min, F.max)]).where("min_k1 != max_k1")
+    again = met.select("k1", F.struct("key", (F.col("min_words") != F.col("max_words")).alias("mixed")).alias("key"))
+    again = materialise(again.groupBy(F.col("k1").alias("a1")).agg(F.collect_set("key").alias("keys")))
+    release(docs.sparkSession, path)  # all keys: read for the last time
     reps = of.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.min("doc_id").alias("rep"))
     again = again.join(reps, "a1")
     # Texts meet what is asked of them by a shuffle at every size: what is asked grows with the corpus.
@@ -190,7 +193,6 @@ def repeated_paragraphs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([*of, pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(rows[new, 4]), *lists], names=["rep", "k1", "k2", "place", "end", "kind", "keys", "shingles"])
 
     places = materialise(held.mapInArrow(cut, f"rep {kind}, k1 long, k2 long, place int, end int, kind long, keys array<long>, shingles array<int>"))
-    release(docs.sparkSession, path)  # all keys: read for the last time
     sets = places.where("shingles IS NOT NULL").groupBy(F.col("kind").alias("rep")).agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets.select("rep", F.size("shingles").alias("n"), "shingles"))
     met = shared_keys(places.where("shingles IS NOT NULL").select(F.explode("keys").alias("key"), F.col("kind").alias("rep")).distinct())
