@@ -140,7 +140,7 @@ def _(s):
 def _(s):
     from ..operators import hierarchy
 
-    links = s.version.where("t IN (3, 4)").select("id", F.when(F.col("t") == 4, F.col("base")).otherwise(0).alias("pid"))
+    links = s.version.where("t = 4").select("id", F.col("base").alias("pid"))  # a full version hangs below nothing, not below the one numbered 0
     down = hierarchy.descend(links, s.version.where("t = 3").select(F.col("id").alias("root")))
     return down.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max("level").alias("depth"))
 
