@@ -53,14 +53,14 @@ def _reads(s):
 @query("o097_overlay", "journal", sql=f"""{_BYTES}, r AS (SELECT seq AS read_id, file_id, unnest(range(greatest(0, off - 700), greatest(0, off - 700) + 1500)) AS p FROM journal)
   SELECT read_id, seq, count(*) AS n FROM (SELECT r.read_id, r.p, max(b.seq) AS seq FROM r LEFT JOIN bytes b ON r.file_id = b.file_id AND r.p = b.p GROUP BY ALL) GROUP BY ALL""")
 def _(s):
-    return intervals.overlay(_reads(s), s.journal, 512).groupBy("read_id", "seq").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n"))
+    return intervals.pieces(_reads(s), s.journal, 512).groupBy("read_id", "seq").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n"))
 
 
 @query("o181_range_read", "journal", sql=f"""{_BYTES}, r AS (SELECT seq AS read_id, file_id, unnest(range(greatest(0, off - 700), greatest(0, off - 700) + 1500)) AS p FROM journal)
   SELECT r.read_id, count(DISTINCT r.p) FILTER (b.p IS NOT NULL) AS written, count(DISTINCT r.p) AS asked FROM r LEFT JOIN bytes b ON r.file_id = b.file_id AND r.p = b.p GROUP BY r.read_id""")
 def _(s):
     n = F.col("end") - F.col("start")
-    return intervals.overlay(_reads(s), s.journal, 512).groupBy("read_id").agg(F.sum(F.when(F.col("seq").isNotNull(), n).otherwise(0)).cast("long").alias("written"), F.sum(n).cast("long").alias("asked"))
+    return intervals.pieces(_reads(s), s.journal, 512).groupBy("read_id").agg(F.sum(F.when(F.col("seq").isNotNull(), n).otherwise(0)).cast("long").alias("written"), F.sum(n).cast("long").alias("asked"))
 
 
 @query("o186_journal_triggers", "journal", sql="SELECT file_id, count(*) AS entries, sum(len)::BIGINT AS bytes, CASE WHEN sum(len) > 1700 THEN 'flush' WHEN count(*) > 64 THEN 'snapshot' ELSE 'none' END AS due FROM journal WHERE seq <= 100000000 GROUP BY file_id")
