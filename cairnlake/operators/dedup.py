@@ -33,6 +33,16 @@ def probe(data: DataFrame, probes: DataFrame) -> DataFrame:
     return answered.select("pos", ref.cast("long").alias("ref")).unionByName(behind)
 
 
+def equal_block(data: DataFrame, contents: DataFrame) -> DataFrame:
+    """(pos, ref) of contents (pos, os, h, x, s0..s3): the largest id of a block that is equal in size and all hashes, 0 if
+    there is none.  Unlike a probe, empty contents equal each other, and so do missing ones (null)."""
+    last = data.groupBy(*[F.col(c).alias(f"of_{c}") for c in DIGEST]).agg(F.max("id").alias("hit"))
+    same = F.lit(True)
+    for c in DIGEST:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return contents.join(last, same, "left").select("pos", F.coalesce("hit", F.lit(0)).cast("long").alias("ref"))
+
+
 def fast_probe(data: DataFrame, probes: DataFrame, chunk_size: int) -> DataFrame:
     """Probes above the chunk size must find their header (a semi-join on two columns) before the full
     probe; smaller ones go to the full probe at once.  Returns (pos, ref), 0 where nothing is found."""
