@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..catalog import CONTENT_CHUNK, FILES
 from ..functions import cron, payload, secrets
 from ..operators import flush, hierarchy, intervals
+from ..sources.shared import spread
 from . import query
 from .payload import _writes
 
@@ -259,7 +260,7 @@ def _(s):
 @query("o171_passwords", "usr", sql="SELECT id, true AS fits, false AS other FROM usr")
 def _(s):
     salt = F.unhex(F.md5(F.encode("usr", "UTF-8")))
-    kept = s.usr.select("id", "usr", secrets.hash_password(F.col("usr"), salt, 1000 + F.col("id") % 50).alias("kept"))
+    kept = spread(s.usr.select("id", "usr"), "id").select("id", "usr", secrets.hash_password(F.col("usr"), salt, 1000 + F.col("id") % 50).alias("kept"))
     return kept.select("id", secrets.verify_password(F.col("usr"), F.col("kept")).alias("fits"), secrets.verify_password(F.concat("usr", F.lit("x")), F.col("kept")).alias("other"))
 
 

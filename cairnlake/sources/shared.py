@@ -44,3 +44,9 @@ def release(spark: SparkSession, path: str) -> None:
     """Delete a materialised table that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame, key: str, rows: int = 2000) -> DataFrame:
+    """The rows dealt by a key into tasks of about ``rows``: for work that takes long a row, where a table of few bytes
+    would else be one task."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
