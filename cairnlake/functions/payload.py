@@ -10,10 +10,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import small_batches
+
 #: Flags of block kinds.
 NORMAL, AES256, SM4 = 1, 2, 4
 SNAPPY, ZSTD, GZIP, BROTLI = 16, 32, 64, 128
@@ -72,6 +74,8 @@ def _unpacker(codec: int) -> Callable[[bytes], bytes]:
 
 def compress(content: Column, codec: int, level: int = 3) -> Column:
     """zstd, gzip or brotli frames, or Snappy blocks, of byte columns."""
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
         pack = _packer(codec, level)
@@ -81,6 +85,8 @@ def compress(content: Column, codec: int, level: int = 3) -> Column:
 
 
 def decompress(content: Column, codec: int) -> Column:
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
         unpack = _unpacker(codec)
@@ -108,7 +114,15 @@ def unprocess(content: Column, kind: Column, codec: int, key: bytes | None = Non
 def unprocess_any(content: Column, kind: Column, codecs: Sequence[int], key: bytes | None = None) -> Column:
     """Decrypt and decompress as the block's kind says, whichever of the codecs it names."""
     body = F.when(kind.bitwiseAND(AES256) != 0, F.aes_decrypt(content, F.lit(key))).otherwise(content) if key else content
-    return F.coalesce(*[decompress(F.when(kind.bitwiseAND(codec) != 0, body), codec) for codec in codecs], body)
+    small_batches(SparkSession.active())
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series, kinds: pd.Series) -> pd.Series:
+        unpack = {codec: _unpacker(codec) for codec in codecs}
+        return pd.Series([None if b is None else next(unpack[c] for c in codecs if int(k) & c)(bytes(b)) for b, k in zip(values, kinds)], dtype=object)
+
+    named = kind.bitwiseAND(sum(set(codecs)))
+    return F.coalesce(run(F.when(named != 0, body), F.coalesce(named, F.lit(0))), body)
 
 
 def assemble(chunks: DataFrame) -> DataFrame:

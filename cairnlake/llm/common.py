@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,17 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from ..sources.shared import materialise, release, shared_dir
+from ..sources.shared import BATCH_BYTES, TEXTS, materialise, release, shared_dir, small_batches
 
 #: Bytes up to which a measured side of a join is broadcast (a hint is given only after measuring), and
 #: bytes that a row costs besides its values.
 BROADCAST_BYTES, ROW_OVERHEAD = 32 << 20, 40
 
-#: Bytes of an Arrow batch, about; a row that is larger makes a batch of its own.
-BATCH_BYTES = 32 << 20
-
-#: Texts, and characters of texts, that a Python worker reads at once.
-TEXTS, CHARACTERS = 1000, 10_000_000
+#: Characters of texts that a Python worker reads at once.
+CHARACTERS = 10_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII characters that no content word holds: everything but digits and letters.
@@ -36,15 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold TEXTS rows and about BATCH_BYTES at most: whole texts are wide rows, and a
-    batch is held by the JVM outside its heap and by the Python worker at once.  The settings stay with
-    the session, since the caller runs the plan later."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
-            spark.conf.set(key, str(most))
-
-
 def value_bytes(value: Column, kind: DataType) -> Column:
     """About how many bytes a value takes in memory."""
     if isinstance(kind, (StringType, BinaryType)):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..catalog import CONTENT_CHUNK, FILES
 from ..functions import cron, payload, secrets
 from ..operators import flush, hierarchy, intervals
-from ..sources.shared import spread
+from ..sources.shared import materialise, spread
 from . import query
 from .payload import _writes
 
@@ -184,6 +184,7 @@ def _(s):
 @query("o255_download", "text", "path", sql=f"SELECT id, path, octet_length(t.bytes)::BIGINT AS size, md5(t.bytes) AS sum FROM (SELECT id - {FILES} AS id, path FROM path WHERE pid >= 0) JOIN text t USING (id)")
 def _(s):
     stored, key = _stored(s)
+    stored = materialise(stored)  # read for its chunks and for its kinds
     last = F.greatest(F.ceil(F.octet_length("bytes") / _C) - 1, F.lit(0)).cast("int")
     cut = stored.select("id", "kind", "bytes", F.explode(F.sequence(F.lit(0), last)).alias("sn"))
     chunks = cut.select(F.col("id").alias("data_id"), "sn", F.substring(F.col("bytes"), F.col("sn") * _C + 1, F.lit(_C)).alias("bytes"))

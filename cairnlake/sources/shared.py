@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch, about (a row that is larger makes a batch of its own), and texts that a Python
+#: worker reads at once.
+BATCH_BYTES, TEXTS = 32 << 20, 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that every executor sees, below ``spark.checkpoint.dir``.  Where that setting is
@@ -50,3 +54,12 @@ def spread(df: DataFrame, key: str, rows: int = 2000) -> DataFrame:
     """The rows dealt by a key into tasks of about ``rows``: for work that takes long a row, where a table of few bytes
     would else be one task."""
     return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold TEXTS rows and about BATCH_BYTES at most: whole texts are wide rows, and a
+    batch is held by the JVM outside its heap and by the Python worker at once.  The settings stay with
+    the session, since the caller runs the plan later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
