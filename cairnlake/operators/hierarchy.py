@@ -28,13 +28,17 @@ def _rounds(depth: int | None) -> Iterator[int]:
 
 def climb(tree: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, ancestor, level) of the given nodes (column ``node``), themselves at level 0; the walk ends
-    at a parent without a row."""
-    known = tree.select(F.col("id").alias("up"))
-    links = materialise(tree.select(F.col("id").alias("ancestor"), F.abs("pid").alias("up")).join(known, "up", "left_semi"))
+    at a parent without a row.  All rows of the tree meet the given nodes once, for the first level; above it only
+    nodes with children are joined."""
+    steps = tree.select(F.col("id").alias("ancestor"), F.abs("pid").alias("up"))
+    inner = materialise(steps.join(steps.select(F.col("up").alias("ancestor")).distinct(), "ancestor", "left_semi"))
+    known = inner.select(F.col("ancestor").alias("up"))
+    links = materialise(inner.join(known, "up", "left_semi"))
     at = materialise(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level")))
     out = at
-    for _ in _rounds(depth):
-        at = materialise(at.join(links, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("level") + 1).alias("level")))
+    for i in _rounds(depth):
+        above = at.join(links, "ancestor") if i else at.join(steps, "ancestor").join(known, "up", "left_semi")
+        at = materialise(above.select("node", F.col("up").alias("ancestor"), (F.col("level") + 1).alias("level")))
         if at.isEmpty():
             break
         out = out.unionByName(at)
@@ -85,11 +89,23 @@ def paths(tree: DataFrame, depth: int | None = None, below: str | None = None) -
     return reduce(DataFrame.unionByName, out or [at])
 
 
-def id_paths(tree: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, path) of the given nodes (column ``node``): climbs, then joins the names from the top down."""
-    named = climb(tree, start).join(tree.select(F.col("id").alias("ancestor"), "n"), "ancestor")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("level", "n")), asc=False), lambda x: x["n"])
-    return named.groupBy("node").agg(F.array_join(parts, "/").alias("path"))
+def id_paths(tree: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(node, path) of the given nodes (column ``node``), or of all.  Paths of nodes with children are made level by level
+    from the top; every node then takes its parent's path once."""
+    rows = materialise(tree.select("id", F.abs("pid").alias("parent"), F.col("n").alias("name")))
+    inner = materialise(rows.join(rows.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"))
+    at = materialise(inner.join(inner.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", F.col("name").alias("path")))
+    above, children = at, inner.withColumnRenamed("id", "child")
+    for _ in _rounds(None):
+        at = materialise(at.join(children, F.col("id") == F.col("parent")).select(F.col("child").alias("id"), F.concat_ws("/", "path", "name").alias("path")))
+        if at.isEmpty():
+            break
+        above = above.unionByName(at)
+    if above.count() < inner.count():
+        raise ValueError("the tree has a cycle")
+    asked = rows if start is None else rows.join(start.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    met = asked.join(above.select(F.col("id").alias("parent"), "path"), "parent", "left")
+    return met.select(F.col("id").alias("node"), F.concat_ws("/", "path", "name").alias("path"))
 
 
 def path_prefixes(path: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy
+from ..sources.shared import materialise
 from . import query
 
 _UP = """up(node, ancestor, level) AS (SELECT id, id, 0 FROM tree UNION ALL SELECT u.node, t.pid, u.level + 1 FROM up u JOIN tree t ON u.ancestor = t.id WHERE t.pid IN (SELECT id FROM tree))"""
@@ -22,7 +23,7 @@ def _(s):
 
 @query("o139_id_to_path", "tree", recursive=True, sql=f"{_PATHS} SELECT id AS node, path FROM paths")
 def _(s):
-    return hierarchy.id_paths(s.tree, s.tree.select(F.col("id").alias("node")))
+    return hierarchy.id_paths(s.tree)
 
 
 @query("o140_recursive_listing", "tree", recursive=True, sql=f"{_PATHS} SELECT DISTINCT CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' ELSE path END AS key, len(string_split(path, '/')) > 2 AS prefix FROM paths WHERE path LIKE 'EUROPE/%'")
@@ -74,8 +75,9 @@ _MOVES = """moves AS (SELECT id, 10001 AS pid FROM tree UNION ALL SELECT pid, id
 @query("o218_move_cycle_guard", "tree", recursive=True, sql=f"""{_UP}, {_MOVES}
   SELECT m.id, m.pid, u.node IS NOT NULL AS cycle FROM moves m LEFT JOIN up u ON u.node = m.pid AND u.ancestor = m.id""")
 def _(s):
-    orders = s.tree.where("id BETWEEN 10000000000 AND 19999999999")
-    up = s.tree.select(F.col("id").alias("pid"), F.col("pid").alias("next"))
+    tree = materialise(s.tree.select("id", "pid"))
+    orders = tree.where("id BETWEEN 10000000000 AND 19999999999")
+    up = tree.select(F.col("id").alias("pid"), F.col("pid").alias("next"))
     region = orders.select("id", "pid").join(up, "pid").select("id", F.col("next").alias("pid")).join(up, "pid").select("id", F.col("next").alias("pid"))
-    moves = s.tree.select("id", F.lit(10001).cast("long").alias("pid")).unionByName(orders.select(F.col("pid").alias("id"), F.col("id").alias("pid"))).unionByName(region)
-    return hierarchy.creates_cycle(s.tree, moves)
+    moves = tree.select("id", F.lit(10001).cast("long").alias("pid")).unionByName(orders.select(F.col("pid").alias("id"), F.col("id").alias("pid"))).unionByName(region)
+    return hierarchy.creates_cycle(tree, moves)
